@@ -54,7 +54,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def stored_bytes(df: DataFrame) -> int:
     """Size of a staged table as the planner sees it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small(df: DataFrame) -> DataFrame:
