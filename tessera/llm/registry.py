@@ -5,12 +5,14 @@ from __future__ import annotations
 from tessera.llm.op02_sharding import op2_sharding
 from tessera.llm.op03_language import op3_language
 from tessera.llm.op04_lm_scoring import op4_lm_scoring
+from tessera.llm.op05_toxicity import op5_toxicity
 from tessera.llm.op06_mixing import op6_mixing
 
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_language": op3_language,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
 }
 
