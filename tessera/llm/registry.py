@@ -7,6 +7,7 @@ from tessera.llm.op03_language import op3_language
 from tessera.llm.op04_lm_scoring import op4_lm_scoring
 from tessera.llm.op05_toxicity import op5_toxicity
 from tessera.llm.op06_mixing import op6_mixing
+from tessera.llm.op09_neighbours import op9_neighbours
 
 QUERIES = {
     "op2_sharding": op2_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op9_neighbours": op9_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
