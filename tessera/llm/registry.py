@@ -7,6 +7,7 @@ from tessera.llm.op03_language import op3_language
 from tessera.llm.op04_lm_scoring import op4_lm_scoring
 from tessera.llm.op05_toxicity import op5_toxicity
 from tessera.llm.op06_mixing import op6_mixing
+from tessera.llm.op07_jaccard_join import op7_jaccard_join
 from tessera.llm.op08_decontamination import op8_decontamination
 from tessera.llm.op09_neighbours import op9_neighbours
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
 }
