@@ -10,6 +10,7 @@ from tessera.llm.op06_mixing import op6_mixing
 from tessera.llm.op07_jaccard_join import op7_jaccard_join
 from tessera.llm.op08_decontamination import op8_decontamination
 from tessera.llm.op09_neighbours import op9_neighbours
+from tessera.llm.op10_substrings import op10_substrings
 
 QUERIES = {
     "op2_sharding": op2_sharding,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
