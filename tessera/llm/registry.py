@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.op01_secrets import op1_secrets
 from tessera.llm.op02_sharding import op2_sharding
 from tessera.llm.op03_language import op3_language
 from tessera.llm.op04_lm_scoring import op4_lm_scoring
@@ -13,6 +14,7 @@ from tessera.llm.op09_neighbours import op9_neighbours
 from tessera.llm.op10_substrings import op10_substrings
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
     "op3_language": op3_language,
     "op4_lm_scoring": op4_lm_scoring,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its staged Parquet files, that is sent to every task.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
