@@ -1,0 +1,602 @@
+"""Registered queries and the DuckDB SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import blocks, masking, paths
+from tessera.functions.text import cleaned
+from tessera.operators import fusion, ledger, lines, ranking, sync, vectors
+from tessera.plans import search, sqltool, workload
+from tessera.sources import databases, files
+from tessera.sources.staging import staged
+from tessera.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+for _name in workload.SQL:
+    QUERIES[_name] = partial(lambda spark, sf_dir, name: workload.run(spark, sf_dir, name), name=_name)
+    ORACLE_SQL[_name] = workload.duckdb_sql(_name)
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its DuckDB SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def digest(text: Column | str) -> Column:
+    return F.md5(F.col(text) if isinstance(text, str) else text)
+
+
+# --- paths, bytes and lines ------------------------------------------------------------------------------------------
+
+_SUFFIXES = (".py", ".Java", ".tar.gz", "", ".yml", ".TSX", ".md", ".cpp")
+_DOC_PATH = "concat('./../', source, '//d', CAST(doc_id AS VARCHAR), CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SUFFIXES)) + " END)"
+
+
+def doc_path() -> Column:
+    """An untidy path for each document: the corpus has none."""
+    ends = F.get(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % len(_SUFFIXES)).cast("int"))
+    return F.concat(F.lit("./../"), "source", F.lit("//d"), F.col("doc_id").cast("string"), ends)
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace('.\' || url || '//x', '\', '/'), '^(\.{1,2}/)+', ''), '^/+', ''), '/{2,}', '/', 'g') AS path FROM pages")
+def path_normalize(spark, sf_dir):
+    untidy = F.concat(F.lit(".\\"), "url", F.lit("//x"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.normalise(untidy).alias("path"))
+
+
+_SQL_SUFFIX = r"lower(regexp_extract(path, '^(?:.*/)?[^/]+(\.[^./]+)$', 1))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace({_DOC_PATH}, '^(\\.{{1,2}}/)+', ''), '/{{2,}}', '/', 'g') AS path FROM documents)
+SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS filename, ltrim({_SQL_SUFFIX}, '.') AS extension,
+CASE {_SQL_SUFFIX} WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.yml' THEN 'yaml' WHEN '.tsx' THEN 'tsx' WHEN '.cpp' THEN 'cpp' ELSE 'text' END AS lang,
+CASE {_SQL_SUFFIX} WHEN '.py' THEN 'text/x-python' WHEN '.java' THEN 'text/plain' WHEN '.md' THEN 'text/markdown' ELSE '' END AS mime FROM p""")
+def path_attrs(spark, sf_dir):
+    named = table(spark, sf_dir, "documents").select("doc_id", paths.normalise(doc_path()).alias("path"))
+    return named.select("doc_id", "path", paths.filename("path").alias("filename"), paths.extension("path").alias("extension"), paths.language("path").alias("lang"), paths.mime("path").alias("mime"))
+
+
+@query("SELECT doc_id FROM documents WHERE starts_with(source, 'src1')")
+def path_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(paths.has_prefix("source", "./src1*")).select("doc_id")
+
+
+@query("SELECT doc_id, sha1('blob ' || CAST(strlen(text) AS VARCHAR) || chr(0) || text) AS oid FROM documents")
+def blob_oid(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", paths.blob_oid("text").alias("oid"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+def line_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", paths.line_count("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[2:3], chr(10))) AS piece, concat(source, '#', CAST(doc_id AS VARCHAR), '/', CAST(len(string_split(text, chr(10))) AS VARCHAR)) AS id FROM documents")
+def chunk_slice(spark, sf_dir):
+    piece, key = paths.cut("text", F.lit(2), F.lit(3)), paths.chunk_key("source", "doc_id", paths.line_count("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(piece).alias("piece"), key.alias("id"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\s*\n\s*', chr(10), 'g'), '[ \t]+', ' ', 'g'), concat(' ', chr(9), chr(10)))) AS digest FROM documents")
+def text_cleanup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(cleaned("text")).alias("digest"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.html_escape("html").alias("escaped"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", files.extracted()(F.lit(".html"), F.col("html").cast("binary")).alias("x"))
+    return pages.select("page_id", F.col("x.text").alias("text"), F.col("x.error").alias("error"))
+
+
+@query("SELECT conv_id, turn, CAST(json_object('conv_id', conv_id, 'role', role, 'turn', turn) AS VARCHAR) AS js FROM conversations")
+def canonical_json(spark, sf_dir):
+    columns = {c: F.col(c) for c in ("turn", "role", "conv_id")}
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", paths.canonical_json(columns).alias("js"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS name FROM part")
+def keyword_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", paths.keyword("p_name").alias("name"))
+
+
+# --- masking ---------------------------------------------------------------------------------------------------------
+
+_Q = "''"
+
+
+def _rule_sql(source: str, *names: str) -> str:
+    """The rules as DuckDB calls; only for patterns that its engine has."""
+    for rule in (r for r in masking.rules("strict") if r.name in names):
+        pattern, new = rule.pattern.replace("'", _Q), rule.replacement.replace("$", "\\").replace("'", _Q)
+        source = f"regexp_replace({source}, '{pattern}', '{new}', 'g')"
+    return source
+
+
+@query(f"SELECT doc_id, md5({_rule_sql('text', 'key_value')}) AS digest, regexp_matches(text, '(?i)(secret|token|password)') AS keyed FROM documents")
+def mask_keyvalue(spark, sf_dir):
+    rule = next(r for r in masking.RULES if r.name == "key_value")
+    masked = masking.apply_rule(F.col("text"), rule)
+    return table(spark, sf_dir, "documents").select("doc_id", digest(masked).alias("digest"), F.col("text").rlike("(?i)(secret|token|password)").alias("keyed"))
+
+
+@query(f"SELECT doc_id, md5({_rule_sql('text', 'aws_access_key', 'gitlab_pat', 'vault_token', 'basic_header', 'bearer_header')}) AS digest FROM documents")
+def mask_tokens(spark, sf_dir):
+    out = F.col("text")
+    for rule in masking.RULES:
+        if rule.name in ("aws_access_key", "gitlab_pat", "vault_token", "basic_header", "bearer_header"):
+            out = masking.apply_rule(out, rule)
+    return table(spark, sf_dir, "documents").select("doc_id", digest(out).alias("digest"))
+
+
+@query(f"SELECT page_id, md5({_rule_sql('url', 'uri_credentials', 'url_parameter', 'curl_user')}) AS digest FROM pages")
+def mask_uri(spark, sf_dir):
+    out = F.col("url")
+    for rule in masking.RULES:
+        if rule.name in ("uri_credentials", "url_parameter", "curl_user"):
+            out = masking.apply_rule(out, rule)
+    return table(spark, sf_dir, "pages").select("page_id", digest(out).alias("digest"))
+
+
+_COMPAT_SQL = _rule_sql("text", "aws_access_key", "key_value")
+
+
+@query(f"SELECT doc_id, md5({_COMPAT_SQL}) AS digest FROM documents")
+def mask_all_compat(spark, sf_dir):
+    """The SQL has the rules that this corpus needs: its engine has neither lookahead nor backreferences in patterns."""
+    return table(spark, sf_dir, "documents").select("doc_id", digest(masking.masked("text", "compat")).alias("digest"))
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace({_COMPAT_SQL}, '(?i)\b({masking.KEYS}\s*=\s+)"[^"{{}}]{{1,256}}"', '\1"[REDACTED]"', 'g')) AS digest FROM documents""")
+def mask_all_strict(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(masking.masked("text")).alias("digest"))
+
+
+@query(r"""SELECT doc_id, 'aws_access_key' AS rule, CAST(len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b')) AS BIGINT) AS hits FROM documents WHERE regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')""")
+def mask_findings(spark, sf_dir):
+    return masking.findings(table(spark, sf_dir, "documents")).where("rule = 'aws_access_key'")
+
+
+@query()
+def mask_audit(spark, sf_dir):
+    masked = table(spark, sf_dir, "documents").select("doc_id", masking.masked("text", "compat").alias("text"))
+    return masking.audit(masked)
+
+
+# --- blocks ----------------------------------------------------------------------------------------------------------
+
+_BLOCKS_SQL = """WITH b AS (SELECT doc_id AS path, k AS place, CAST((doc_id * 7 + k * 5) % 25 - 1 AS INTEGER) AS start_line,
+CAST((doc_id * 7 + k * 5) % 25 - 1 + (doc_id * 3 + k) % 9 AS INTEGER) AS end_line, CAST(20 + doc_id % 7 AS INTEGER) AS total FROM documents, range(4) t(k))"""
+
+
+def made_blocks(spark, sf_dir) -> DataFrame:
+    """Four blocks for each document, untidy by rule: path, place, start_line, end_line, total."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
+    start = (F.col("path") * 7 + F.col("place") * 5) % 25 - 1
+    return docs.select("path", "place", start.cast("int").alias("start_line"), (start + (F.col("path") * 3 + F.col("place")) % 9).cast("int").alias("end_line"), (20 + F.col("path") % 7).cast("int").alias("total"))
+
+
+@query(f"""{_BLOCKS_SQL}, m AS (SELECT *, greatest(coalesce(max(end_line) OVER (PARTITION BY path ORDER BY start_line, end_line, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS bef,
+row_number() OVER (PARTITION BY path ORDER BY start_line, end_line, place) AS nth, row_number() OVER (PARTITION BY path ORDER BY place) AS given FROM b),
+g AS (SELECT path, CAST(count(*) AS BIGINT) AS blocks, bool_or(nth <> given) AS unsorted, CAST(sum(CASE WHEN start_line < 1 THEN 1 ELSE 0 END) AS BIGINT) AS starts_out,
+CAST(sum(CASE WHEN end_line > total THEN 1 ELSE 0 END) AS BIGINT) AS ends_out, greatest(max(total) - greatest(max(end_line), 0), 0) AS tail,
+sum(CASE WHEN start_line > bef + 1 THEN 1 ELSE 0 END) AS g0, sum(CASE WHEN start_line > bef + 1 THEN start_line - 1 - bef ELSE 0 END) AS gl,
+CAST(sum(CASE WHEN start_line <= bef THEN 1 ELSE 0 END) AS BIGINT) AS overlap_count, CAST(sum(CASE WHEN start_line <= bef THEN bef - start_line + 1 ELSE 0 END) AS BIGINT) AS overlap_lines,
+least(greatest(max(end_line), 0), max(total)) / max(total) * 100 AS raw_coverage FROM m GROUP BY path)
+SELECT path, blocks, unsorted, starts_out, ends_out, CAST(g0 + CASE WHEN tail > 0 THEN 1 ELSE 0 END AS BIGINT) AS gaps, CAST(gl + tail AS BIGINT) AS gap_lines, overlap_count, overlap_lines, round(raw_coverage, 6) AS raw_coverage FROM g""")
+def block_diagnostics(spark, sf_dir):
+    return blocks.diagnostics(made_blocks(spark, sf_dir)).withColumn("raw_coverage", F.round("raw_coverage", 6))
+
+
+@query()
+def block_normalize(spark, sf_dir):
+    entry = F.struct("place", "start_line", "end_line", F.concat(F.lit("b"), F.col("place").cast("string")).alias("title"), F.lit("k").alias("kind"), F.array().cast("array<string>").alias("symbols"))
+    listed = made_blocks(spark, sf_dir).groupBy("path", "total").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))
+    tiled = listed.select("path", "total", blocks.normalised("blocks", "total").alias("tiles"))
+    return tiled.select("path", "total", F.inline("tiles")).drop("symbols")
+
+
+@query("SELECT doc_id, 100.0E0 AS coverage FROM documents")
+def block_coverage(spark, sf_dir):
+    """Normalised blocks cover every line of every document."""
+    split = table(spark, sf_dir, "documents").select("doc_id", "text", blocks.split_with()("text").alias("blocks"))
+    tiled = split.withColumn("total", paths.line_count("text")).withColumn("tiles", blocks.normalised("blocks", "total"))
+    return tiled.select("doc_id", blocks.coverage("tiles", "total").alias("coverage"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+def chunk_fanout(spark, sf_dir):
+    """Chunks joined again give the document back."""
+    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", blocks.split_with()("text").alias("blocks"))
+    parts = blocks.chunks(split)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    whole = parts.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return whole.select(F.col("path").alias("doc_id"), digest("text").alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+# --- full text -------------------------------------------------------------------------------------------------------
+
+QUESTION = "the and of tion er"
+_TOKENS = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents"
+_POSTED = f"WITH tok AS ({_TOKENS}), p AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term)"
+_TERMS = ", ".join(f"'{t}'" for t in QUESTION.split())
+_BM25 = f"""{_POSTED}, len AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(dl) AS a FROM len),
+d AS (SELECT term, count(*) AS df FROM p WHERE term IN ({_TERMS}) GROUP BY term),
+s AS (SELECT p.doc_id AS doc_id, round(sum(ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * (p.tf / (p.tf + 1.2E0 * (0.25E0 + 0.75E0 * len.dl / c.a)))), 9) AS score FROM p JOIN d ON p.term = d.term JOIN len ON p.doc_id = len.doc_id, c GROUP BY p.doc_id)"""
+
+
+def _posted(spark, sf_dir, analyser: str = "simple") -> DataFrame:
+    return ranking.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), analyser)
+
+
+@query(f"{_POSTED} SELECT doc_id, CAST(count(*) AS BIGINT) AS terms, CAST(sum(tf) AS BIGINT) AS dl FROM p GROUP BY doc_id")
+def postings(spark, sf_dir):
+    return _posted(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").cast("long").alias("dl"))
+
+
+@query(f"{_POSTED} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+def term_stats(spark, sf_dir):
+    return ranking.term_statistics(_posted(spark, sf_dir))
+
+
+def _bm25(spark, sf_dir) -> DataFrame:
+    return ranking.bm25(_posted(spark, sf_dir), QUESTION.split())
+
+
+@query(f"{_BM25} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_topk(spark, sf_dir):
+    return ranking.top(_bm25(spark, sf_dir), 20).select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def bm25_multifield(spark, sf_dir):
+    scored = {}
+    for name in ranking.BOOSTS:
+        terms = ranking.query_terms(spark, "thereor nations of the enble", name)
+        scored[name] = ranking.bm25(_posted(spark, sf_dir, name), terms)
+    return ranking.top(ranking.best_field(scored), 20)
+
+
+@query(f"""{_BM25}, w AS (SELECT doc_id, score FROM s UNION ALL SELECT doc_id, 1.0 FROM documents WHERE lang IN ('de', 'fr')),
+t AS (SELECT doc_id, sum(score) AS score FROM w GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM t ORDER BY score DESC, doc_id LIMIT 20""")
+def symbol_boost(spark, sf_dir):
+    """Languages stand for symbols."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("symbols"))
+    scored = ranking.with_symbols(_bm25(spark, sf_dir), docs, ["DE", "", "fr"], key="doc_id")
+    return ranking.top(scored, 20).select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- vectors, fusion, rerank -----------------------------------------------------------------------------------------
+
+_COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_KNN = f"SELECT e.vec_id AS vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_KNN}) t ORDER BY t.score DESC, vec_id LIMIT 20")
+def knn_exact(spark, sf_dir):
+    near = vectors.knn(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20)
+    return near.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_KNN} WHERE e.label = 3) t ORDER BY t.score DESC, vec_id LIMIT 20")
+def knn_filtered(spark, sf_dir):
+    near = vectors.knn(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20, F.col("label") == 3)
+    return near.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def knn_lsh(spark, sf_dir):
+    return vectors.knn_lsh(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20)
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
+def vector_norms(spark, sf_dir):
+    norm = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(norm, 5).alias("norm"))
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(vectors.embed_with()("text")).alias("dims"))
+
+
+_LIST = "CAST(row_number() OVER (ORDER BY {0} DESC, o_orderkey) AS INTEGER) AS rank, o_orderkey AS id FROM orders ORDER BY {0} DESC, o_orderkey LIMIT 50"
+
+
+def _ranked(spark, sf_dir, column: str) -> DataFrame:
+    return ranking.top(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col(column).cast("double").alias("score")), 50, "id")
+
+
+def _rrf_sql(*columns: str) -> str:
+    union = " UNION ALL ".join(f"SELECT * FROM (SELECT {_LIST.format(c)})" for c in columns)
+    return f"SELECT id, round(sum(1.0E0 / (60 + rank)), 10) AS score FROM ({union}) t GROUP BY id"
+
+
+@query(_rrf_sql("o_totalprice", "o_custkey"))
+def rrf_two_lists(spark, sf_dir):
+    return fusion.rrf([_ranked(spark, sf_dir, c) for c in ("o_totalprice", "o_custkey")]).select("id", F.round("score", 10).alias("score"))
+
+
+@query(_rrf_sql("o_totalprice", "o_custkey", "o_orderkey"))
+def rrf_n_lists(spark, sf_dir):
+    return fusion.rrf([_ranked(spark, sf_dir, c) for c in ("o_totalprice", "o_custkey", "o_orderkey")]).select("id", F.round("score", 10).alias("score"))
+
+
+@query(f"""{_BM25}, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 60),
+k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({_KNN}) t ORDER BY score DESC, vec_id LIMIT 60),
+f AS (SELECT id, sum(1.0E0 / (60 + rank)) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM k) u GROUP BY id)
+SELECT f.id AS id, round(f.score, 8) AS score, CAST(row_number() OVER (ORDER BY f.score DESC, f.id) AS INTEGER) AS rank, d.source AS source FROM f JOIN documents d ON d.doc_id = f.id ORDER BY f.score DESC, f.id LIMIT 10""")
+def hybrid_search(spark, sf_dir):
+    """BM25 over documents and vectors of the same number, fused: ids join by convention."""
+    short = fusion.shortlist(10, rerank=True)
+    by_text = ranking.top(_bm25(spark, sf_dir), short).withColumnRenamed("doc_id", "id")
+    near = vectors.knn(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), short)
+    by_vector = ranking.top(near, short, "vec_id").withColumnRenamed("vec_id", "id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    fused = docs.join(F.broadcast(fusion.rrf([by_text, by_vector])), "id")  # two short lists
+    best = ranking.top(fused.select("id", "score"), 10, "id")
+    return docs.join(F.broadcast(best), "id").select("id", F.round("score", 8).alias("score"), "rank", "source")
+
+
+@query(f"""{_BM25}, b AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 60),
+r AS (SELECT d.doc_id AS doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(d.text), '\\s+')), list_distinct(string_split('{QUESTION}', ' ')))) / {len(set(QUESTION.split()))}.0E0 AS rerank_score FROM documents d JOIN b ON d.doc_id = b.doc_id)
+SELECT doc_id, round(rerank_score, 6) AS rerank_score, CAST(row_number() OVER (ORDER BY rerank_score DESC, doc_id) AS INTEGER) AS rank FROM r ORDER BY rerank_score DESC, doc_id LIMIT 10""")
+def rerank_lexical(spark, sf_dir):
+    short = ranking.top(_bm25(spark, sf_dir), 60)
+    candidates = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(short), "doc_id")
+    ranked = fusion.rerank(candidates, QUESTION, 10, key="doc_id")
+    return ranked.select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query()
+def main_search(spark, sf_dir):
+    """The whole search over chunks of the documents: three analysers, prefix, symbols, vectors, fusion, rerank."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    parts = blocks.chunks(docs.withColumn("blocks", blocks.split_with()("text")))
+    full = staged(parts.withColumns({"embedding": vectors.embed_with()("text"), "lang": paths.language("path"), "mime": paths.mime("path")}))
+    posted = {name: staged(ranking.postings(full, name, "id")) for name in ranking.BOOSTS}
+    return search.search(full, "the tion of erin", "src1", 10, ["none"], True, postings=posted)
+
+
+# --- synchronisation -------------------------------------------------------------------------------------------------
+
+_CURRENT = "SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE md5(text) END AS hash FROM documents WHERE doc_id % 7 <> 0"
+_STORED = "SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN md5(text || 'x') ELSE md5(text) END AS hash FROM documents WHERE doc_id % 3 <> 0"
+_DIFF = f"""SELECT coalesce(c.path, s.path) AS path, c.hash AS current_hash, s.hash AS stored_hash, CASE WHEN c.hash IS NULL AND s.hash IS NULL THEN 'none' WHEN c.hash IS NULL THEN 'delete'
+WHEN s.hash IS NULL THEN 'index' WHEN c.hash = s.hash THEN 'skip' ELSE 'reindex' END AS action FROM ({_CURRENT}) c FULL OUTER JOIN ({_STORED}) s ON c.path = s.path"""
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A corpus and an older manifest of it: files are added, changed, ignored and removed by rule."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    current = docs.where("doc_id % 7 != 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(digest("text")).alias("hash"))
+    stored = docs.where("doc_id % 3 != 0").select("path", F.when(F.col("doc_id") % 5 == 0, digest(F.concat("text", F.lit("x")))).otherwise(digest("text")).alias("hash"))
+    return current, stored
+
+
+@query(_DIFF)
+def manifest_diff(spark, sf_dir):
+    return sync.diff(*_snapshots(spark, sf_dir))
+
+
+@query(f"SELECT path, hash FROM ({_CURRENT}) c WHERE hash IS NOT NULL")
+def manifest_apply(spark, sf_dir):
+    """The stored manifest after the diff is applied is the current snapshot."""
+    current, stored = _snapshots(spark, sf_dir)
+    actions = sync.diff(current, stored)
+    return sync.replaced(stored, actions, sync.to_index(actions))
+
+
+@query(f"SELECT path, hash AS current_hash FROM ({_CURRENT}) c WHERE hash IS NOT NULL AND hash IS NULL")
+def manifest_idempotent(spark, sf_dir):
+    """Nothing is pending on a second run."""
+    current, stored = _snapshots(spark, sf_dir)
+    actions = sync.diff(current, stored)
+    applied = sync.replaced(stored, actions, sync.to_index(actions))
+    return sync.pending(sync.diff(current, applied)).select("path", "current_hash")
+
+
+# --- SQL tool --------------------------------------------------------------------------------------------------------
+
+_SELECT = "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus"
+_GUARDED = {"SELECT 1": True, "WITH a AS (SELECT 1 AS x) SELECT x FROM a": True, "INSERT INTO t VALUES (1)": False, "DROP TABLE t": False, "SELECT 1; SELECT 2": False, "": False, "CREATE TABLE t AS SELECT 1": False, "SET a = 1": False}
+
+
+@query(_SELECT)
+def select_tool_ok(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return sqltool.query(spark, _SELECT)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _GUARDED.items()) + ") t(statement, allowed)")
+def select_tool_guard(spark, sf_dir):
+    return spark.createDataFrame([(k, sqltool.is_query(spark, k)) for k in _GUARDED], "statement string, allowed boolean")
+
+
+@query("SELECT * FROM (VALUES ('jdbc:postgresql://h:5432/db?ssl=true', 'jdbc:postgresql://h:5432/db'), ('h/db', 'jdbc:postgresql://h/db'), ('mysql://h/x', 'jdbc:mysql://h/x')) t(given, url)")
+def source_urls(spark, sf_dir):
+    given = ["jdbc:postgresql://h:5432/db?ssl=true", "h/db", "mysql://h/x"]
+    return spark.createDataFrame([(u, databases.jdbc_url(u)) for u in given], "given string, url string")
+
+
+@query("SELECT 'orders' AS tbl, column_name AS col FROM (DESCRIBE orders) UNION ALL SELECT 'events', column_name FROM (DESCRIBE events)")
+def catalog_columns(spark, sf_dir):
+    """Where is an entity stored: tables and their columns."""
+    names = [(t, f.name) for t in ("orders", "events") for f in table(spark, sf_dir, t).schema]
+    return spark.createDataFrame(names, "tbl string, col string")
+
+
+# --- lines -----------------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return lines.line_table(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM ({_LINES}) t WHERE regexp_matches(line, '(?i)token = ')")
+def grep_lines(spark, sf_dir):
+    return lines.grep(_lines(spark, sf_dir), "token = ", ignore_case=True)
+
+
+@query(rf"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, unnest(regexp_extract_all(line, '[a-z]+\.[0-9]+@[a-z0-9.]+')) AS match FROM ({_LINES}) t")
+def grep_only(spark, sf_dir):
+    return lines.grep_only(_lines(spark, sf_dir), r"[a-z]+\.[0-9]+@[a-z0-9.]+", "doc_id")
+
+
+@query(f"SELECT doc_id, line_no, line, matched FROM (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, matched, max(CAST(matched AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM (SELECT *, regexp_matches(line, 'AKIA') AS matched FROM ({_LINES}) t) m) n WHERE near = 1")
+def grep_context(spark, sf_dir):
+    return lines.grep_context(_lines(spark, sf_dir), "AKIA", before=2, after=1, key="doc_id").select("doc_id", "line_no", "line", "matched")
+
+
+@query(f"SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(line, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM ({_LINES}) t GROUP BY doc_id")
+def grep_count(spark, sf_dir):
+    return lines.grep_count(_lines(spark, sf_dir), "the", "doc_id")
+
+
+@query(r"SELECT source AS grp, CAST(count(*) AS BIGINT) AS files, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS newlines, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> ''))) AS BIGINT) AS words, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def wc_by_prefix(spark, sf_dir):
+    return lines.word_count(table(spark, sf_dir, "documents"), "source")
+
+
+@query(f"SELECT md5(line) AS digest, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) t GROUP BY line HAVING count(*) > 1")
+def sort_uniq_count(spark, sf_dir):
+    return lines.sort_uniq_count(_lines(spark, sf_dir)).where("n > 1").select(digest("line").alias("digest"), "n")
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM ({_LINES}) t WHERE line_no <= 2")
+def head_lines(spark, sf_dir):
+    return lines.head(_lines(spark, sf_dir), 2)
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS n FROM ({_LINES}) t) u WHERE line_no > n - 2")
+def tail_lines(spark, sf_dir):
+    return lines.tail(table(spark, sf_dir, "documents"), 2, "doc_id")
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN contains(line, ' ') THEN split_part(line, ' ', 2) ELSE line END AS field FROM ({_LINES}) t")
+def cut_field(spark, sf_dir):
+    return lines.cut_field(_lines(spark, sf_dir), " ", 2, "doc_id")
+
+
+@query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, md5(regexp_replace(translate(line, 'aeiou', 'AEIOU'), '[0-9]+', '#', 'g')) AS digest FROM ({_LINES}) t")
+def sed_tr_lines(spark, sf_dir):
+    changed = lines.substitute(lines.translate(_lines(spark, sf_dir), "aeiou", "AEIOU"), "[0-9]+", "#")
+    return changed.select("doc_id", "line_no", digest("line").alias("digest"))
+
+
+@query(f"""WITH l AS ({_LINES}), r AS (SELECT doc_id, line_no, CASE WHEN doc_id % 10 = 0 THEN line || '!' ELSE line END AS line FROM l)
+SELECT l.doc_id AS doc_id, CAST(l.line_no AS INTEGER) AS line_no, md5(l.line) AS old, md5(r.line) AS new FROM l JOIN r ON l.doc_id = r.doc_id AND l.line_no = r.line_no WHERE l.line <> r.line""")
+def diff_lines(spark, sf_dir):
+    old = _lines(spark, sf_dir)
+    new = old.withColumn("line", F.when(F.col("doc_id") % 10 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    return lines.diff_lines(old, new, "doc_id").select("doc_id", "line_no", digest("old").alias("old"), digest("new").alias("new"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(length(props) AS BIGINT) AS n FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", lines.json_value("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def hash_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in lines.digests().items()])
+
+
+@query("""WITH p AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path, lang, source, strlen(text) AS length FROM documents),
+d AS (SELECT '' AS directory, 0 AS depth, length FROM p UNION ALL SELECT lang, 1, length FROM p UNION ALL SELECT lang || '/' || source, 2, length FROM p)
+SELECT directory, CAST(count(*) AS BIGINT) AS files, CAST(sum(length) AS BIGINT) AS bytes, CAST(depth AS INTEGER) AS depth FROM d GROUP BY directory, depth""")
+def tree_levels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("length"))
+    return lines.tree(docs)
+
+
+# --- ledger ----------------------------------------------------------------------------------------------------------
+
+_CALLS = "SELECT conv_id, CASE WHEN role = 'user' THEN length(text) END AS input, CASE WHEN turn = 0 THEN length(text) END AS cache_write, CASE WHEN turn > 0 THEN length(text) END AS cache_read, CASE WHEN role <> 'user' THEN length(text) END AS output FROM conversations"
+_TOTALS = f"SELECT conv_id, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(cache_write), 0) AS BIGINT) AS cache_write, CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS cache_read, CAST(coalesce(sum(output), 0) AS BIGINT) AS output FROM ({_CALLS}) c GROUP BY conv_id"
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    """Characters stand for tokens."""
+    n = F.length("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("role") == "user", n).alias("input"), F.when(F.col("turn") == 0, n).alias("cache_write"), F.when(F.col("turn") > 0, n).alias("cache_read"), F.when(F.col("role") != "user", n).alias("output"))
+
+
+@query(_TOTALS)
+def ledger_totals(spark, sf_dir):
+    return ledger.totals(_calls(spark, sf_dir), "conv_id")
+
+
+@query(f"SELECT *, round(input + 1.25E0 * cache_write + 0.1E0 * cache_read, 4) AS paid, round(input + 1.25E0 * cache_write + 0.1E0 * cache_read + output, 4) AS total, round(input + cache_write + cache_read - (input + 1.25E0 * cache_write + 0.1E0 * cache_read), 4) AS saved FROM ({_TOTALS}) t")
+def ledger_cost(spark, sf_dir):
+    priced = ledger.cost(ledger.totals(_calls(spark, sf_dir), "conv_id"))
+    return priced.withColumns({c: F.round(c, 4) for c in ("paid", "total", "saved")})
+
+
+_PAGES = "SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS page_no FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''"
+
+
+@query(f"SELECT conv_id, CAST(page_no AS INTEGER) AS page_no, CAST(count(*) AS BIGINT) AS messages FROM ({_PAGES}) p GROUP BY conv_id, page_no")
+def page_assemble(spark, sf_dir):
+    built = ledger.pages(table(spark, sf_dir, "conversations"))
+    return built.select("conv_id", "page_no", F.json_array_length("text").cast("long").alias("messages"))
+
+
+@query(f"""WITH p AS (SELECT conv_id, page_no, string_agg(text, '|' ORDER BY turn) AS text FROM ({_PAGES}) x GROUP BY conv_id, page_no), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page_no DESC) AS r FROM p)
+SELECT conv_id, coalesce(max(CASE WHEN r = 1 THEN text END), '') AS page1, coalesce(max(CASE WHEN r = 2 THEN text END), '') AS page2, coalesce(max(CASE WHEN r = 3 THEN text END), '') AS page3,
+CAST(length(coalesce(max(CASE WHEN r = 1 THEN text END), '')) AS BIGINT) AS chars1, CAST(length(coalesce(max(CASE WHEN r = 2 THEN text END), '')) AS BIGINT) AS chars2, CAST(length(coalesce(max(CASE WHEN r = 3 THEN text END), '')) AS BIGINT) AS chars3 FROM r GROUP BY conv_id""")
+def history_last3(spark, sf_dir):
+    spoken = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
+    numbered = spoken.withColumn("page_no", F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    built = numbered.groupBy("conv_id", "page_no").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "|").alias("text"))
+    return ledger.last_pages(built)
+
+
+# --- streaming, an extension -----------------------------------------------------------------------------------------
+
+_HOURS = "SELECT date_trunc('hour', ts) AS h, event_type, value FROM events"
+
+
+@query(f"""SELECT CAST(h AS VARCHAR) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM ({_HOURS}) t WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY h, event_type""")
+def stream_windows(spark, sf_dir):
+    """A stream over the events file: hourly windows that the watermark of two hours has closed."""
+    closed = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf_dir)))
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf_dir):
+    found = ingest.sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
