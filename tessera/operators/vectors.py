@@ -55,7 +55,8 @@ def literal(vector) -> Column:
 def knn(table: DataFrame, vector, k: int, where: Column | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(key, score): the k rows nearest to a vector. The filter comes before the distance, so k rows pass it."""
     rows = table if where is None else table.where(where)
-    scored = rows.select(key, cosine(F.col(embedding), literal(vector)).alias("score")).where("score is not null")
+    own, norm = F.col(embedding), math.sqrt(sum(float(x) ** 2 for x in vector))
+    scored = rows.select(key, F.try_divide(dot(own, literal(vector)), F.sqrt(dot(own, own)) * F.lit(norm)).alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
