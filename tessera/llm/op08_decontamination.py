@@ -37,11 +37,16 @@ def with_hashes(table: DataFrame, width: int) -> DataFrame:
     return hashed.withColumn("__h", _shingled("__w", width, run)).drop("__w")
 
 
+def _hashed(array, f: int) -> Column:
+    """The values of hash function f. (Only one argument in the lambda: a second one would be the place.)"""
+    return F.transform(array, lambda x: F.xxhash64(x, F.lit(f)))
+
+
 def _minima(table: DataFrame, windows: list[int]) -> tuple[DataFrame, dict[tuple[int, int], str]]:
     """table with the MinHash of every tile of each window width (powers of two), by (width, function): from the
     tiles of half the width, as least of two."""
     names: dict[tuple[int, int], str] = {}
-    table = table.withColumns({f"__m1_{f}": F.transform("__h", lambda x, f=f: F.xxhash64(x, F.lit(f))) for f in range(FUNCTIONS)})
+    table = table.withColumns({f"__m1_{f}": _hashed("__h", f) for f in range(FUNCTIONS)})
     w = 1
     while w <= max(windows):
         names |= {(w, f): f"__m{w}_{f}" for f in range(FUNCTIONS)}
@@ -61,7 +66,8 @@ def _minima(table: DataFrame, windows: list[int]) -> tuple[DataFrame, dict[tuple
 def _item_windows(items: DataFrame, w: int) -> list[Column]:
     """For each function the MinHash of all sliding windows of w shingles of an item."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("__h") - w, F.lit(0)))
-    return [F.transform(starts, lambda i, f=f: F.array_min(F.transform(F.slice("__h", i + 1, w), lambda x: F.xxhash64(x, F.lit(f))))) for f in range(FUNCTIONS)]
+    sliding = lambda f: F.transform(starts, lambda i: F.array_min(_hashed(F.slice("__h", i + 1, w), f)))
+    return [sliding(f) for f in range(FUNCTIONS)]
 
 
 def _tagged(minima: Column, w: int, f: int) -> Column:
