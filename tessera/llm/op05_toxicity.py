@@ -56,6 +56,11 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
+def _compressed(evidence: float) -> float:
+    """Evidence for the logistic fit: even far values of it then have some influence, but no more."""
+    return math.asinh(evidence)
+
+
 class Model:
     """tables: for each level sorted feature hashes and the log-odds of each."""
 
@@ -80,7 +85,7 @@ class Model:
         return most + sum(x for *_, x in sure) - (max((x for *_, x in sure), default=0.0)), [(a, b, s, math.exp(-min(x, 700))) for a, b, s, x in sure]
 
     def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.shift))))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * _compressed(evidence) + self.shift))))
 
     def calibrate(self, rows: list[tuple[int, int, list[float], float]], bins: np.ndarray) -> None:
         """rows: (toxic, tokens, scores of all segments, weight); bins: clean tokens by score. Sets the extreme-value and logistic parameters."""
@@ -96,15 +101,25 @@ class Model:
         self.k = math.exp(min(5.0, max(-12.0, float(np.mean(gumbel)) - 0.5772))) if len(gumbel) >= 30 else 1e-3
         if not rows:
             return
-        x = np.array([max(-30.0, min(60.0, self.evidence([(0, 0, v) for v in s], n)[0])) for _, n, s, _ in rows])
+        x = np.array([_compressed(self.evidence([(0, 0, v) for v in s], n)[0]) for _, n, s, _ in rows])
         y, w = np.array([r[0] for r in rows], float), np.array([r[3] for r in rows])
+        w = w / w.mean()
+        design, ridge = np.column_stack([np.ones(len(x)), x]), np.array([1e-3, 1e-2])
+
+        def loss(b: np.ndarray) -> float:
+            z = design @ b
+            return float(w @ (np.logaddexp(0, z) - y * z) + ridge @ (b * b) / 2)
+
         beta = np.array([math.log((y @ w + 1) / ((1 - y) @ w + 1)), 0.1])
-        design = np.column_stack([np.ones(len(x)), x])
-        for _ in range(50):  # ridge-penalised Newton steps
-            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-            hessian = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag([1e-3, 1e-1])
-            step = np.linalg.solve(hessian, design.T @ (w * (y - p)) - np.array([1e-3, 1e-1]) * beta)
-            beta += np.clip(step, -2, 2)
+        for _ in range(100):  # Newton steps, halved until the loss falls
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+            hessian = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag(ridge)
+            step, scale = np.linalg.solve(hessian, design.T @ (w * (y - p)) - ridge * beta), 1.0
+            while scale > 1e-6 and loss(beta + scale * step) > loss(beta):
+                scale /= 2
+            beta = beta + scale * step
+            if scale * float(np.abs(step).max()) < 1e-6:
+                break
         self.shift, self.slope = float(beta[0]), max(1e-3, float(beta[1]))
 
 
