@@ -22,6 +22,9 @@ from tessera.llm.textarrays import chunks, flat, mixed
 
 #: Bytes that the gear hash sees, zero bits at a boundary (a chunk has 2 ** BITS bytes on average), longest chunk.
 WINDOW, BITS, LONGEST = 16, 5, 1024
+#: In a chunk of more bytes than LONG, fewer zero bits do, at LEAST bytes or more from each other: text that repeats a
+#: few words has few different hashes, maybe none with all bits.
+LONG, BACKUP_BITS, LEAST = 256, 1, 24
 #: A repeated passage has at least so many words; its whole chunks at least so many bytes.
 WORDS, BYTES = 50, 64
 _GEAR = np.random.default_rng(10_16).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -43,6 +46,16 @@ def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     cut = cut[cut - starts[np.searchsorted(starts, cut, side="right") - 1] >= WINDOW]
     first = np.union1d(cut, starts)
     sizes = np.diff(np.append(first, len(data)))
+    backups: list[int] = []
+    for a, size in zip(first[sizes > LONG].tolist(), sizes[sizes > LONG].tolist(), strict=True):
+        inside = np.flatnonzero((h[a + WINDOW - 1 : a + size - 1] >> np.uint16(16 - BACKUP_BITS)) == 0) + a + WINDOW
+        last = a
+        for at in inside[(data[inside] & 0xC0) != 0x80].tolist():
+            if at - last >= LEAST:
+                backups.append(at)
+                last = at
+    first = np.union1d(first, np.array(backups, first.dtype))
+    sizes = np.diff(np.append(first, len(data)))
     extra = (sizes - 1) // LONGEST
     if extra.any():
         at = np.repeat(first, extra)
