@@ -34,12 +34,24 @@ def structural(text: str) -> list[dict]:
     return out
 
 
+def checked(found: list[dict]) -> list[dict]:
+    """A splitter's blocks if they keep the contract, else ValueError."""
+    if not isinstance(found, list) or not 1 <= len(found) <= MOST_BLOCKS:
+        raise ValueError(f"a splitter returns 1 to {MOST_BLOCKS} blocks")
+    for b in found:
+        if set(b) != {"start_line", "end_line", "title", "kind", "symbols"}:
+            raise ValueError(f"a block has other keys: {sorted(b)}")
+        if len(b["title"]) > TITLE or len(b["kind"]) > KIND or len(b["symbols"]) > SYMBOLS:
+            raise ValueError("a block's title, kind or list of symbols is too long")
+    return found
+
+
 def split_with(splitter=structural):
     """Column function: text -> array of blocks, by a Python splitter (a model's client, or the stand-in)."""
 
     @pandas_udf(f"array<{_BLOCK}>")
     def blocks(text: pd.Series) -> pd.Series:
-        return text.map(splitter, na_action="ignore")
+        return text.map(lambda t: checked(splitter(t)), na_action="ignore")
 
     return blocks
 

@@ -117,3 +117,11 @@ def split_parts(lines: DataFrame, n: int) -> DataFrame:
 
 def dirname(path: Column | str) -> Column:
     return F.regexp_replace(F.when((F.col(path) if isinstance(path, str) else path).contains("/"), path).otherwise(F.lit("./")), "/[^/]*$", "")
+
+
+def migrations(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, version, name) of migration files V<version>__<name>.sql, for the history of a schema."""
+    name = F.element_at(F.split(key, "/"), -1)
+    pattern = r"^V([0-9][0-9._]*)__(.+)\.sql$"
+    found = files.where(name.rlike(pattern))
+    return found.select(key, F.regexp_extract(name, pattern, 1).alias("version"), F.replace(F.regexp_extract(name, pattern, 2), F.lit("_"), F.lit(" ")).alias("name"))

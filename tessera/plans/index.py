@@ -50,6 +50,11 @@ def build_chunks(changed: DataFrame, splitter=blocks.structural, model=hashed_em
     })
 
 
+def unindexable(scanned: DataFrame) -> DataFrame:
+    """path, error: files that build() leaves out, as they have no text."""
+    return scanned.where(F.coalesce(files.lenient("content"), F.lit("")) == "").select(paths.normalise("path").alias("path"), F.lit("empty file").alias("error"))
+
+
 def build(spark: SparkSession, scanned: DataFrame, store: Store, ignore: str = "", keep_created: bool = False, **how) -> dict[str, int]:
     """Bring the store up to date with scanned (path, content); returns how many paths had each action.
 

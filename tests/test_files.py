@@ -1,9 +1,12 @@
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.__main__ import main
+from tessera.functions import blocks
 from tessera.operators import ledger, lines, sync
 from tessera.plans import index, sqltool
 from tessera.plans.search import search
@@ -146,3 +149,30 @@ def test_stream_indexes_each_batch(spark, tmp_path):
     query = ingest.index_arrivals(stream, lambda batch: seen.append(batch.count()), state)
     query.awaitTermination()
     assert sum(seen) == 5
+
+
+def test_migrations_and_unindexable(spark):
+    rows = spark.createDataFrame([("db/V1__Initial_schema.sql",), ("db/V2_1__add_users.sql",), ("x.sql",)], "path string")
+    assert sorted(tuple(r) for r in lines.migrations(rows).collect()) == [("db/V1__Initial_schema.sql", "1", "Initial schema"), ("db/V2_1__add_users.sql", "2_1", "add users")]
+    assert [tuple(r) for r in index.unindexable(_scanned(spark, {"a": "x", "./b": ""})).collect()] == [("b", "empty file")]
+
+
+def test_splitter_contract():
+    good = {"start_line": 1, "end_line": 2, "title": "t", "kind": "k", "symbols": []}
+    assert blocks.checked([good]) == [good]
+    for bad in ([], [good] * 51, [good | {"title": "x" * 121}], [good | {"other": 1}], "text"):
+        with pytest.raises(ValueError):
+            blocks.checked(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def find_user():\n    pass\n")
+    assert main(["mask", str(src), str(tmp_path / "safe")]) == 0
+    assert main(["build", str(src), str(tmp_path / "store")]) == 0
+    assert main(["search", str(tmp_path / "store"), "find user", "--top", "1", "--no-rerank"]) == 0
+    assert '"path":"a.py"' in capsys.readouterr().out
+    assert main(["sql", "/root/testdata/sf0.001", "SELECT count(*) AS n FROM nation"]) == 0
+    assert json.loads(capsys.readouterr().out)["rows"] == [{"n": 25}]
+    assert main(["sql", "/root/testdata/sf0.001", "DROP TABLE nation"]) == 1
