@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length. A source takes every document a whole number of times, and
-fills the rest of its budget from those counts: the same share of every length, then whole lengths by largest
-remainder, then a bounded-knapsack dynamic programme over the words still missing. Which documents of a length are
+fills the rest of its budget from those counts: of a large budget first the same share of every length, then a
+bounded-knapsack dynamic programme over the last DP_WORDS words. Which documents of a length are
 taken is decided by a seeded hash of the id.
 """
 
@@ -51,31 +51,38 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MO
 def fit(budget: int, counts: dict[int, int]) -> dict[int, int]:
     """How many documents of each length to take, so that their words come as near to budget as possible.
 
-    counts: documents by length, of positive lengths. The result never exceeds the budget.
+    counts: documents by length, of positive lengths. Of two results as near, the smaller one is taken.
     """
     all_words = sum(n * c for n, c in counts.items())
     if budget >= all_words:
         return dict(counts)
-    take = {n: c * budget // all_words for n, c in counts.items()}
+    # a large budget: the same share of every length, but for what the programme handles
+    even = max(0, budget - DP_WORDS // 2)
+    take = {n: c * even // all_words for n, c in counts.items()}
     left = budget - sum(n * c for n, c in take.items())
     # largest remainders first, while more is missing than the programme handles
-    for n in sorted(counts, key=lambda n: (-((counts[n] * budget) % all_words), -n)):
+    for n in sorted(counts, key=lambda n: (-((counts[n] * even) % all_words), -n)):
         if left <= DP_WORDS:
             break
         if n <= left and take[n] < counts[n]:
             take[n] += 1
             left -= n
-    # bounded knapsack: reach[w] says whether w more words can be had; bits of one integer. Counts are split in powers of two.
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    # bounded knapsack: bit w of reach says whether w more words can be had. Counts are split in powers of two.
+    # Up to one shortest document more than what is left may be nearer than less.
+    top = left + min((n for n in counts if take[n] < counts[n]), default=0)
+    mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for n in sorted(counts):
-        spare, part = min(counts[n] - take[n], left // n), 1
+        spare, part = min(counts[n] - take[n], top // n), 1
         while spare > 0 and not reach >> left & 1:
             part = min(part, spare)
             before, reach = reach, (reach | reach << (n * part)) & mask
             if reach != before:
                 steps.append((n, part, before))
             spare, part = spare - part, part * 2
-    at = reach.bit_length() - 1
+    at, above = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> left
+    over = (above & -above).bit_length() - 1 if above else None
+    if over is not None and over < left - at:
+        at = left + over
     for n, part, before in reversed(steps):
         if not before >> at & 1:
             take[n] += part
