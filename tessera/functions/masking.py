@@ -66,7 +66,7 @@ RULES = (
 STRICT = (Rule("attribute_spaced", rf"""(?i)\b({KEYS}\s*=\s+)(["'])[^"'{{}}]{{1,256}}\2""", f"$1$2{_MASK}$2"),)
 #: What a text needs for any rule to match: rows without it skip the chain.
 _GATE = r"(?i)-----BEGIN|AKIA|glpat-|hvs\.|\bs\.[a-z0-9]{20}|eyJ|authorization:|x[-_](?:api|jfrog|vault)|pass|pwd|secret|token|key|://[^\s]*@|role_id|-u\s|-data\s*:|\"auth\"|SAMPLE_"
-#: As in the patterns' first home: only \n ends a line, and classes know Unicode.
+#: Only \n ends a line, and character classes know Unicode.
 _FLAGS = "(?dU)"
 
 
