@@ -2,7 +2,8 @@
 
 Both models are interpolated Kneser-Ney models of the same order over one vocabulary of characters, counted over all
 documents: the background over every document, the target over those labelled as good. Each token's (character's)
-difference of losses is summed over the document.
+difference of losses is summed over the document. Up to MOST_GRAMS different n-grams the models are sent to every task;
+beyond, they stay tables and are joined: every n-gram of a counted document is in the background's counts.
 """
 
 from __future__ import annotations
@@ -14,19 +15,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.charlm import CharLM, count_grams
-from tessera.llm.shared import read, small, tune
+from tessera.llm.charlm import ORDER, CharLM, count_grams
+from tessera.llm.shared import read, small, stage, tune
 from tessera.llm.textarrays import NOT_WORD, Tokens, chunks
 
 TARGET, BACKGROUND = "target", "background"
+#: Different n-grams of models that a task may hold, about 60 bytes each.
+MOST_GRAMS = 1_000_000
+
+
+def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """class, gram, n of the target and the background (which includes the target). docs: text, in_target boolean."""
+    counts = count_grams(docs.select("text", F.when(F.coalesce("in_target", F.lit(False)), TARGET).otherwise("rest").alias("class")), NOT_WORD, order)
+    return counts.where(F.col("class") == TARGET).unionByName(counts.withColumn("class", F.lit(BACKGROUND)))
 
 
 def fit_models(docs: DataFrame) -> CharLM | None:
-    """docs: text, in_target boolean. The background counts include the target's. None without any word."""
-    counts = count_grams(docs.select("text", F.when(F.coalesce("in_target", F.lit(False)), TARGET).otherwise("rest").alias("class")), NOT_WORD)
-    everything = counts.withColumn("class", F.lit(BACKGROUND))
-    both = counts.where(F.col("class") == TARGET).unionByName(everything)
-    return CharLM.from_counts(both, [TARGET, BACKGROUND]) if counts.limit(1).count() else None
+    """Both models, to be sent to every task; None without any word."""
+    counts = counted(docs)
+    return CharLM.from_counts(counts, [TARGET, BACKGROUND]) if counts.limit(1).count() else None
+
+
+def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, t, b: the probability of the last character after the others, of every counted n-gram, as a table."""
+    levels = {order: stage(counts.groupBy("gram").pivot("class", [TARGET, BACKGROUND]).agg(F.sum("n")).na.fill(0).toDF("gram", "t", "b"), "level")}
+    for k in range(order - 1, 0, -1):
+        shorter = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram"))
+        levels[k] = stage(shorter.agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("b") > 0).alias("b")), "level")
+    base, below = 1 / (levels[1].count() + 1), None
+    for k in range(1, order + 1):
+        seen = levels[k].agg(*[F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in "tb" for n in (1, 2)]).first()
+        rows = levels[k].withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
+        totals = rows.groupBy("context").agg(*[x for c in "tb" for x in (F.sum(c).alias(f"all_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
+        rows = rows.join(small(stage(totals, "contexts")), "context")
+        if below is not None:
+            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(small(below.toDF("suffix", "low_t", "low_b")), "suffix")
+        out = []
+        for c in "tb":
+            d = min(0.95, max(0.1, seen[f"{c}1"] / max(seen[f"{c}1"] + 2 * seen[f"{c}2"], 1))) if seen[f"{c}1"] else 0.5
+            whole, low = F.col(f"all_{c}"), F.lit(base) if below is None else F.col(f"low_{c}")
+            left = F.when(whole > 0, d * F.col(f"kinds_{c}") / F.greatest(whole, F.lit(1))).otherwise(F.lit(1.0))
+            out.append((F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(whole, F.lit(1)) + left * low).alias(c))
+        below = stage(rows.select("gram", *out), "probabilities")
+    return below
+
+
+def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, word, k: how often a text has each of its words; (row, null, 0) too, for texts without any."""
+    for table in chunks(batches):
+        tokens = Tokens(table["text"], NOT_WORD)
+        rows = pa.concat_arrays(table["row"].chunks)
+        owner = np.repeat(np.arange(table.num_rows), np.diff(tokens.offsets))
+        pairs, k = np.unique(owner * max(1, len(tokens.vocab)) + tokens.ids, return_counts=True)
+        at, word = pairs // max(1, len(tokens.vocab)), pairs % max(1, len(tokens.vocab))
+        words = pa.concat_arrays([tokens.vocab.take(pa.array(word)).cast(pa.string()), pa.nulls(table.num_rows, pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([rows.take(pa.array(at)), rows]), words, pa.array(np.concatenate([k, np.zeros(table.num_rows, k.dtype)]))], ["row", "word", "k"])
+
+
+def score_counted(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """As score(), for documents that are all in counts, with joins instead of a model in each task."""
+    numbered = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    words = stage(numbered.select("row", "text").mapInArrow(_word_rows, "row long, word string, k long"), "words")
+    padded = F.concat(F.lit("\x02" * (order - 1)), "word", F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(order)))
+    spelled = words.where("word is not null").select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    known = spelled.join(small(probabilities(counts, order)), "gram").groupBy("word").agg(F.count("*").alias("n"), F.sum(-F.ln("t")).alias("t"), F.sum(-F.ln("b")).alias("b"))
+    sums = words.join(small(stage(known, "word-losses")), "word", "left").groupBy("row").agg(*[F.coalesce(F.sum(F.col("k") * F.col(c)), F.lit(0)).alias(c) for c in ("n", "t", "b")])
+    per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(0.0))
+    joined = numbered.select("doc_id", "row").join(sums, "row")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_tokens"), per("t").alias("ce_target"), per("b").alias("ce_background"), (per("t") - per("b")).alias("score"))
+
+
+def score_against_target(docs: DataFrame) -> DataFrame:
+    """The scores of docs (doc_id, text, in_target) by models that are counted over all of them."""
+    counts = counted(docs)
+    kinds = counts.where(F.col("class") == BACKGROUND).select("gram").distinct().count()
+    if kinds > MOST_GRAMS:
+        return score_counted(docs, counts)
+    return score(docs, CharLM.from_counts(counts, [TARGET, BACKGROUND]) if kinds else None)
 
 
 def score(docs: DataFrame, model: CharLM | None) -> DataFrame:
@@ -56,4 +122,4 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = docs.join(small(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("in_target", F.lit(True))), "doc_id", "left")
-    return score(docs, fit_models(labelled))
+    return score_against_target(labelled)
