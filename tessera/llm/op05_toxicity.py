@@ -99,7 +99,9 @@ class Model:
         self.rate = max(high, 0.05)
         gumbel = [self.rate * max(s) - math.log(n) for toxic, n, s, _ in rows if not toxic and n and s]
         self.k = math.exp(min(5.0, max(-12.0, float(np.mean(gumbel)) - 0.5772))) if len(gumbel) >= 30 else 1e-3
-        if not rows:
+        positive = sum(r[0] for r in rows)
+        if not 0 < positive < len(rows):  # one class only: no evidence moves the score from its share
+            self.slope, self.shift = 0.0, math.log((positive + 0.1) / (len(rows) - positive + 1))
             return
         x = np.array([_compressed(self.evidence([(0, 0, v) for v in s], n)[0]) for _, n, s, _ in rows])
         y, w = np.array([r[0] for r in rows], float), np.array([r[3] for r in rows])
