@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import stage
-from tessera.llm.textarrays import Tokens, chunks, code_points
+from tessera.llm.textarrays import WORD_CHUNK_BYTES, Tokens, chunks, code_points
 
 ORDER = 5
 _START, _END = 2, 3
@@ -44,7 +44,7 @@ def _keys(columns: np.ndarray, order: int) -> np.ndarray:
 
 def _counter(order: int, separator: str):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, most=WORD_CHUNK_BYTES):
             for name in table["class"].unique().to_pylist():
                 of = table.filter(pa.compute.equal(table["class"], name))
                 tokens = Tokens(of["text"], separator)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.charlm import CharLM, count_grams
 from tessera.llm.shared import held_out, read, tune
-from tessera.llm.textarrays import NOT_LETTERS, Tokens, chunks
+from tessera.llm.textarrays import NOT_LETTERS, WORD_CHUNK_BYTES, Tokens, chunks
 
 #: Learning documents of a language that the models are fitted on, about; every CALIBRATE-th of them only sets thresholds.
 PER_LANGUAGE, CALIBRATE = 2_000, 5
@@ -63,7 +63,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier |
     shared = spark.sparkContext.broadcast(Identifier(model, {}))
 
     def entropies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, most=WORD_CHUNK_BYTES):
             names, _, ce, _ = shared.value.predict(table["text"])
             right = np.array(names) == np.array(table["class"].to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[right]), pa.array(ce[right])], ["class", "ce"])
@@ -82,7 +82,7 @@ def identify(docs: DataFrame, known: Identifier | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, most=WORD_CHUNK_BYTES):
             n = table.num_rows
             found = shared.value.predict(table["text"]) if shared.value else (["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool))
             ids = pa.concat_arrays(table["doc_id"].chunks)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.charlm import ORDER, CharLM, count_grams
 from tessera.llm.shared import read, small, stage, tune
-from tessera.llm.textarrays import NOT_WORD, Tokens, chunks
+from tessera.llm.textarrays import NOT_WORD, WORD_CHUNK_BYTES, Tokens, chunks
 
 TARGET, BACKGROUND = "target", "background"
 #: Different n-grams of models that a task may hold, about 60 bytes each.
@@ -62,7 +62,7 @@ def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, word, k: how often a text has each of its words; (row, null, 0) too, for texts without any."""
-    for table in chunks(batches):
+    for table in chunks(batches, most=WORD_CHUNK_BYTES):
         tokens = Tokens(table["text"], NOT_WORD)
         rows = pa.concat_arrays(table["row"].chunks)
         owner = np.repeat(np.arange(table.num_rows), np.diff(tokens.offsets))
@@ -103,7 +103,7 @@ def score(docs: DataFrame, model: CharLM | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, most=WORD_CHUNK_BYTES):
             tokens = Tokens(table["text"], NOT_WORD)
             n, ce = np.zeros(table.num_rows), np.zeros((table.num_rows, 2))
             if shared.value and len(tokens.vocab):

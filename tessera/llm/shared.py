@@ -67,6 +67,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def tune(spark: SparkSession, rows: int = 512) -> None:
+def tune(spark: SparkSession, rows: int = 128) -> None:
     """Keep Arrow batches of whole texts small, as a worker holds one at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 
 #: Words of letters only, and words of letters, digits and underscores (patterns of what separates them).
 NOT_LETTERS, NOT_WORD = r"[^\p{L}\p{M}]+", r"[^\p{L}\p{M}\p{N}_]+"
-#: Bytes of text that a worker handles at once; one longer text is handled alone.
-CHUNK_BYTES = 6 << 20
+#: Bytes of text that a worker handles at once, and those where the work is per distinct word; one longer text is handled alone.
+CHUNK_BYTES, WORD_CHUNK_BYTES = 1 << 20, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
-    """The rows of all batches in tables of about CHUNK_BYTES of text."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of about that many bytes of text."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -24,11 +24,11 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         ends, at = np.cumsum(lengths), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES - size, side="right")))
+            stop = max(at + 1, int(np.searchsorted(ends, base + most - size, side="right")))
             held.append(batch.slice(at, stop - at))
             size += int(ends[stop - 1] - base)
             at = stop
-            if size >= CHUNK_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
     if held:
