@@ -1,15 +1,15 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication: passages of WORDS words or more that several documents hold, byte for byte.
 
-A gear hash rolls over the UTF-8 bytes; a chunk ends where its upper bits are zero, which depends on the last WINDOW
-bytes only, so an insertion moves no boundary beyond its surroundings. Chunks are counted by digest over all documents,
-and a run of neighbouring chunks that other documents hold too is a repeated passage. Its true ends lie somewhere in the
-two chunks beside the run, so a run is reported if it can be as long as the wanted number of words.
+A passage is repeated where each window of WORDS words, with the space between them, has a digest that another document
+has too; overlapping windows are joined, so ends are exact to the word. So that not all windows are counted, a window's
+mark is the least hash of the runs of GRAM words in it (winnowing): windows of the same bytes have the same mark, one
+mark stands for many neighbouring windows, and only windows with a mark that several documents have are counted.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,16 @@ WINDOW, BITS, LONGEST = 16, 5, 1024
 #: In a chunk of more bytes than LONG, fewer zero bits do, at LEAST bytes or more from each other: text that repeats a
 #: few words has few different hashes, maybe none with all bits.
 LONG, BACKUP_BITS, LEAST = 256, 1, 24
-#: A repeated passage has at least so many words; its whole chunks at least so many bytes.
-WORDS, BYTES = 50, 64
+#: A repeated passage has at least so many whole words; words in a run that is hashed for the marks.
+WORDS, GRAM = 50, 25
+#: Windows that are joined at once.
+ROWS = 200_000
 _GEAR = np.random.default_rng(10_16).integers(0, 1 << 16, 256, dtype=np.uint16)
-_POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+_BASE = 0x9E3779B97F4A7C15
 
 
 def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sorted first bytes of all chunks; data: texts in a row, starts: their first bytes (ascending, in data)."""
+    """Sorted first bytes of all content-defined chunks (repeated_spans does not use them); data: texts in a row, starts: their first bytes (ascending, in data)."""
     h, step = _GEAR[data], 1
     while step < WINDOW:  # twice as many bytes with each step
         older = np.zeros_like(h)
@@ -64,61 +66,123 @@ def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return first
 
 
-def _chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest, doc_id, at: one row for each chunk. at packs first byte (31 bits), bytes (11), words (10), words of the chunks before and after (6 each)."""
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and text of every word, which is a run of bytes above the space; starts: as in boundaries()."""
+    space = data <= 32
+    opens, closes = np.concatenate([[True], space[:-1]]), np.concatenate([space[1:], [True]])
+    opens[starts] = True
+    closes[starts[1:] - 1] = True
+    begin, end = np.flatnonzero(~space & opens), np.flatnonzero(~space & closes) + 1
+    return begin, end, np.searchsorted(starts, begin, side="right") - 1
+
+
+def _grams(data: np.ndarray, begin: np.ndarray) -> Callable[[int], np.ndarray]:
+    """A function of k that gives, for each word but the last k - 1, a hash of the bytes from there to the end of the k-th word."""
+    data, begin = data[begin[0] :], begin - begin[0]
+    length = np.diff(np.append(begin, len(data)))
+    power = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
+    terms = (data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(begin, length)]
+    spaced = mixed(np.add.reduceat(terms, begin))  # with the space after the word
+    terms[data <= 32] = 0
+    last = mixed(np.add.reduceat(terms, begin))
+    n = len(begin)
+    up, down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(spaced * up[:n]))
+    return lambda k: mixed((sums[k - 1 : n] - sums[: n - k + 1]) * down[: n - k + 1] + last[k - 1 :] * up[k - 1])
+
+
+def _marked(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Places (among the words), texts, marks and digests of all windows of WORDS words in one text, then the words' first bytes and ends.
+
+    The mark is the least hash of the GRAM-word runs in the window, so it depends on the window's bytes only.
+    """
+    begin, end, text = _words(data, starts)
+    if len(begin) < WORDS:
+        return None
+    grams = _grams(data, begin)
+    least, step, many = grams(GRAM), 1, WORDS - GRAM + 1
+    while step < many:  # the minimum over twice as many runs with each step
+        more = min(step, many - step)
+        least = np.minimum(least[:-more], least[more:])
+        step += more
+    at = np.flatnonzero(text[: 1 - WORDS] == text[WORDS - 1 :])
+    return at, text[at], least[at], grams(WORDS)[at], begin, end
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, tuple]]:
+    """Tables without empty texts, first bytes of their texts, and what _marked() gives of them."""
     for table in chunks(batches):
-        texts = pc.fill_null(flat(table["text"]).cast(pa.large_string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not sizes.sum():
+        table = table.filter(pc.greater(pc.binary_length(table["text"]), 0))
+        if not table.num_rows:
             continue
+        texts = flat(table["text"].cast(pa.large_string()))
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        full = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[full]
-        first = boundaries(data, starts)
-        length = np.diff(np.append(first, len(data)))
-        within = np.arange(len(data)) - np.repeat(first, length)
-        digest = mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[within], first))
-        space = data <= 32
-        word = ~space & np.concatenate([[True], space[:-1]])
-        words = np.add.reduceat(word.astype(np.int64), first)
-        text = np.searchsorted(starts, first, side="right") - 1
-        same = text[1:] == text[:-1]
-        before, after = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        before[1:][same], after[:-1][same] = words[:-1][same], words[1:][same]
-        packed = (first - starts[text]) | length << 31 | np.minimum(words, 1023) << 42 | np.minimum(before, 63) << 52 | np.minimum(after, 63) << 58
-        owner = flat(table["doc_id"]).take(pa.array(np.flatnonzero(full)[text]))
-        yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), owner, pa.array(packed)], ["digest", "doc_id", "at"])
+        starts = ends[:-1] - ends[0]
+        found = _marked(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], starts)
+        if found is not None:
+            yield table, starts, found
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive by document and place: neighbouring chunks are joined."""
-    out: list[tuple] = []
-    run: dict | None = None
+def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mark, doc_id: the marks of every document's windows, equal neighbours once."""
+    for table, _, (_, text, mark, *_) in _texts(batches):
+        new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])])[: len(mark)]
+        owner = flat(table["doc_id"]).take(pa.array(text[new]))
+        yield pa.RecordBatch.from_arrays([pa.array(mark[new].view(np.int64)), owner], ["mark", "doc_id"])
 
-    def close() -> None:
-        if run and run["bytes"] >= BYTES and run["words"] + run["around"] >= WORDS:
-            source, _ = min(run["firsts"].items(), key=lambda x: (-x[1], x[0]))
-            out.append((run["doc_id"], run["start"], run["bytes"], run["words"], source, source != run["doc_id"]))
 
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, doc_id, nth, at: the windows whose mark is one of the document's column marks.
+
+    nth packs version (31 bits) and the window's place (32), at packs its first byte (31) and bytes (32).
+    """
+    for table, starts, (at, text, mark, digest, begin, end) in _texts(batches):
+        lists = flat(table["marks"])
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        of_text = lambda marks, texts: marks + texts.astype(np.uint64) * np.uint64(_BASE)
+        kept = np.isin(of_text(mark, text), of_text(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), owner))
+        at, text = at[kept], text[kept]
+        version = table["version"].to_numpy()[text]
+        start, stop = begin[at] - starts[text], end[at + WORDS - 1] - starts[text]
+        owner = flat(table["doc_id"]).take(pa.array(text))
+        yield pa.RecordBatch.from_arrays([pa.array(digest[kept].view(np.int64)), owner, pa.array(version << 32 | at), pa.array(start << 32 | stop - start)], ["digest", "doc_id", "nth", "at"])
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by document, version and place: overlapping windows are joined."""
+    held: list[np.ndarray] = []
+    size, most = 0, ROWS
     for b in batches:
-        packed = b["at"].to_numpy(zero_copy_only=False).view(np.uint64)
-        field = lambda shift, bits: ((packed >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64).tolist()  # noqa: E731, B023
-        for doc, source, start, size, words, before, after in zip(b["doc_id"].to_pylist(), b["first_doc"].to_pylist(), field(0, 31), field(31, 11), field(42, 10), field(52, 6), field(58, 6), strict=True):
-            if not (run and run["doc_id"] == doc and run["start"] + run["bytes"] == start):
-                if run and run["doc_id"] == doc and start < run["start"] + run["bytes"]:
-                    continue  # a repeated row
-                close()
-                run = {"doc_id": doc, "start": start, "bytes": 0, "words": 0, "before": before, "firsts": Counter()}
-            run["bytes"] += size
-            run["words"] += words
-            run["around"] = run["before"] + after
-            run["firsts"][source] += size
-        if len(out) > 10_000:
-            yield _spans(out)
-            out.clear()
-    close()
-    yield _spans(out)
+        doc, nth, at, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        low = (1 << 32) - 1
+        held.append(np.column_stack([doc, nth >> 32, nth & low, at >> 32, (at >> 32) + (at & low), first]))
+        size += b.num_rows
+        if size >= most:
+            rows = np.concatenate(held)
+            edges = _edges(rows)
+            yield _spans([s for a, e in pairwise(edges[:-1]) for s in _joined(rows[a:e])])
+            held, size = [rows[edges[-2] :]], len(rows) - edges[-2]  # the last document may go on
+            most = max(ROWS, 2 * size)
+    if size:
+        rows = np.concatenate(held)
+        yield _spans([s for a, e in pairwise(_edges(rows)) for s in _joined(rows[a:e])])
+
+
+def _edges(rows: np.ndarray) -> list[int]:
+    """First rows of each document and version, and the end."""
+    return [0, *(np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1).tolist(), len(rows)]
+
+
+def _joined(rows: np.ndarray) -> list[tuple]:
+    """The spans of one document. rows: doc_id, version, nth, start, end and first_doc of its windows."""
+    rows = rows[np.append(True, rows[1:, 2] != rows[:-1, 2])]  # repeated rows of docs
+    doc, nth, start, end, first = int(rows[0, 0]), *rows[:, 2:].T
+    out = []
+    for a, e in pairwise([0, *(np.flatnonzero(np.diff(nth) > WORDS) + 1).tolist(), len(nth)]):
+        sources, counts = np.unique(first[a:e], return_counts=True)
+        source = int(sources[counts.argmax()])
+        out.append((doc, int(start[a]), int(end[e - 1] - start[a]), int(nth[e - 1] + WORDS - nth[a]), source, source != doc))
+    return out
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -129,20 +193,28 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, bytes, words, first_doc_id, removed: every repeated passage of every document.
 
-    docs: doc_id long, text. start and bytes are in UTF-8 bytes and cover whole chunks. first_doc_id is the least
-    document that holds most of the passage's chunks; removed is false there. Passages that only one document holds,
+    docs: doc_id long, text. start and bytes are in UTF-8 bytes and cover whole words. first_doc_id is the least
+    document that holds most of the passage's windows; removed is false there. Passages that only one document holds,
     however often, are none; null and empty texts and rows without an id have none; repeated rows count as one.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(_chunked, "digest long, doc_id long, at long")
-    held = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    repeated = stage(held.where("first_doc != last_doc").select("digest", "first_doc"), "repeated")
-    mine = pieces.join(small(repeated), "digest").select("doc_id", "at", "first_doc")
-    place = F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
-    ordered = mine.repartition("doc_id").sortWithinPartitions("doc_id", place)
+    marks = stage(rows.mapInArrow(_marks, "mark long, doc_id long"), "marks")
+    shared = stage(_shared(marks, "mark").select("mark"), "shared-marks")
+    of_doc = stage(marks.join(small(shared), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "document-marks")
+    likely = rows.join(small(of_doc), "doc_id").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("version"), "text", "marks")
+    windows = stage(likely.mapInArrow(_windows, "digest long, doc_id long, nth long, at long"), "windows")
+    repeated = stage(_shared(windows, "digest"), "repeated")
+    mine = windows.join(small(repeated), "digest").select("doc_id", "nth", "at", "first_doc")
+    ordered = mine.repartition("doc_id").sortWithinPartitions("doc_id", "nth")
     return ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean")
 
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """key, first_doc: the values of key that two documents or more hold."""
+    held = rows.groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return held.where("first_doc != last_doc").select(key, "first_doc")
+
+
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the removed passages cut out of text."""
     cuts = spans.where("removed").groupBy(F.col("doc_id").alias("__d")).agg(F.sort_array(F.collect_set(F.struct("start", "bytes"))).alias("__cuts"))

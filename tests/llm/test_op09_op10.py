@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -123,6 +124,35 @@ def test_repeated_words_are_repeats_too(make):
     assert {r["doc_id"] for r in cdc.repeated_spans(docs).collect()} == {1, 2}
 
 
+def _exact_words(docs, n=50):
+    """Words (by place) of each document that lie in n words, with their spaces, which another document holds."""
+    holders, places = {}, {}
+    for i, text in docs:
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x20]+", text.encode())]
+        for k in range(len(words) - n + 1):
+            piece = text.encode()[words[k][0] : words[k + n - 1][1]]
+            holders.setdefault(piece, set()).add(i)
+            places.setdefault(piece, []).append((i, k))
+    return {(i, k + j) for p, own in holders.items() if len(own) > 1 for i, k in places[p] for j in range(n)}
+
+
+@pytest.mark.parametrize(("letters", "longest"), [("abcdefghijklmnoprstuvw", 9), ("abcdefghijklm", 2), ("абвгдежзиклмнопрст", 9), ("ab", 1)])
+def test_repeats_equal_brute_force(make, letters, longest):
+    rng = random.Random(longest)
+    prose = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(n))
+    docs = []
+    for k in range(40):
+        passage = prose(rng.choice([49, 50, 51, 60]))
+        docs += [(2 * k + d, f"{prose(rng.randint(0, 70))} {passage}\n{prose(rng.randint(0, 70))}") for d in range(2)]
+    found = set()
+    for r in cdc.repeated_spans(make(*docs)).collect():
+        raw = dict(docs)[r["doc_id"]].encode()
+        before = len(raw[: r["start"]].split())
+        assert len(raw[r["start"] : r["start"] + r["bytes"]].split()) == r["words"]
+        found |= {(r["doc_id"], before + k) for k in range(r["words"])}
+    assert found == _exact_words(docs) and len(found) > 2_000
+
+
 def test_substring_edges(make):
     rng = random.Random(9)
     text = _prose(rng, 100)
