@@ -174,14 +174,31 @@ def _edges(rows: np.ndarray) -> list[int]:
 
 
 def _joined(rows: np.ndarray) -> list[tuple]:
-    """The spans of one document. rows: doc_id, version, nth, start, end and first_doc of its windows."""
+    """The spans of one document, split where the least first document of the windows on a word changes.
+
+    rows: doc_id, version, nth, start, end and first_doc of its windows.
+    """
     rows = rows[np.append(True, rows[1:, 2] != rows[:-1, 2])]  # repeated rows of docs
     doc, nth, start, end, first = int(rows[0, 0]), *rows[:, 2:].T
+    cuts = np.flatnonzero((np.diff(nth) > WORDS) | (np.diff(first) != 0)) + 1
+    # windows in a row of one first document: its number, first word and the word after, first byte and end
+    runs = [(int(first[a]), int(nth[a]), int(nth[e - 1]) + WORDS, int(start[a]), int(end[e - 1])) for a, e in pairwise([0, *cuts.tolist(), len(nth)])]
+    base = int(nth[0])
+    holder = np.full(int(nth[-1]) + WORDS - base, -1)  # of each word
+    for k in sorted(range(len(runs)), key=lambda k: -runs[k][0]):
+        holder[runs[k][1] - base : runs[k][2] - base] = k
+    held = holder >= 0
+    source = np.array([r[0] for r in runs])[holder]
+    edges = np.flatnonzero((held[1:] != held[:-1]) | (held[1:] & (source[1:] != source[:-1]))) + 1
+    opens, closes = {r[1]: r[3] for r in runs}, {r[2]: r[4] for r in runs}
     out = []
-    for a, e in pairwise([0, *(np.flatnonzero(np.diff(nth) > WORDS) + 1).tolist(), len(nth)]):
-        sources, counts = np.unique(first[a:e], return_counts=True)
-        source = int(sources[counts.argmax()])
-        out.append((doc, int(start[a]), int(end[e - 1] - start[a]), int(nth[e - 1] + WORDS - nth[a]), source, source != doc))
+    for a, e in pairwise([0, *edges.tolist(), len(holder)]):
+        if held[a]:
+            # spans that touch share the byte between them: where the next run begins, or else where the last one ends
+            left = opens[a + base] if a + base in opens else closes[a + base]
+            goes_on = e < len(holder) and held[e]
+            right = opens[e + base] if goes_on and e + base in opens else closes[e + base]
+            out.append((doc, left, right - left, e - a, int(source[a]), int(source[a]) != doc))
     return out
 
 
@@ -194,8 +211,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, bytes, words, first_doc_id, removed: every repeated passage of every document.
 
     docs: doc_id long, text. start and bytes are in UTF-8 bytes and cover whole words. first_doc_id is the least
-    document that holds most of the passage's windows; removed is false there. Passages that only one document holds,
-    however often, are none; null and empty texts and rows without an id have none; repeated rows count as one.
+    document that holds a window on the word; removed is false where that is the document itself. A passage is split
+    where it changes, so a part can be short, but each word lies in a passage of WORDS words. Every removed word is in a
+    window of a document with a lesser id, so one copy of it stays. Passages that only one document holds, however
+    often, are none; null and empty texts and rows without an id have none; repeated rows count as one.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stage(rows.mapInArrow(_marks, "mark long, doc_id long"), "marks")

@@ -153,6 +153,33 @@ def test_repeats_equal_brute_force(make, letters, longest):
     assert found == _exact_words(docs) and len(found) > 2_000
 
 
+def test_every_passage_keeps_one_holder(make):
+    rng = random.Random(17)
+    a, b, c = (_prose(rng, n) for n in (60, 150, 60))
+    # 7 is the first of b and c, but not of a beside them; 8 and 9 repeat a, b and c in a row
+    docs = make((5, f"{_prose(rng, 20)} {a} {_prose(rng, 20)}"), *((i, f"{_prose(rng, 20)} {a} {b} {c} {_prose(rng, 20)}") for i in (7, 8, 9)), (10, f"{a} {_prose(rng, 20)} {c}"))
+    spans = cdc.repeated_spans(docs)
+    assert sorted((r["doc_id"], r["words"], r["first_doc_id"], r["removed"]) for r in spans.collect()) == [
+        (5, 60, 5, False), (7, 60, 5, True), (7, 210, 7, False), *[(i, n, f, True) for i in (8, 9) for n, f in ((60, 5), (210, 7))], (10, 60, 5, True), (10, 60, 7, True)
+    ]
+    left = [" ".join(r["text"].split()) for r in cdc.without_repeats(docs, spans).collect()]
+    assert [sum(p in t for t in left) for p in (a, f"{b} {c}")] == [1, 1]
+
+
+def test_no_word_of_chained_passages_is_lost(make):
+    rng = random.Random(29)
+    parts = [_prose(rng, rng.choice([25, 40, 60])) for _ in range(12)]
+    texts = {i: " ".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for i in range(40)}
+    docs = make(*texts.items())
+    spans = cdc.repeated_spans(docs)
+    rows = sorted((r["doc_id"], r["start"], r["bytes"]) for r in spans.collect())
+    assert all(x[0] != y[0] or x[1] + x[2] <= y[1] for x, y in zip(rows, rows[1:], strict=False))  # no overlap
+    left = {r["doc_id"]: r["text"] for r in cdc.without_repeats(docs, spans).collect()}
+    words = lambda some: {w for t in some for w in t.split()}
+    assert words(left.values()) == words(texts.values()) and not _exact_words(list(left.items())) - _exact_words(list(texts.items()))
+    assert sum(len(t) for t in left.values()) < sum(len(t) for t in texts.values()) / 3
+
+
 def test_substring_edges(make):
     rng = random.Random(9)
     text = _prose(rng, 100)
