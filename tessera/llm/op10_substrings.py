@@ -217,15 +217,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     often, are none; null and empty texts and rows without an id have none; repeated rows count as one.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cleanup, session = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", docs.sparkSession
+    before = session.conf.get(cleanup)
+    session.conf.set(cleanup, "true")  # what is staged needs no shuffle files
+    try:
+        windows, repeated = _counted(rows)
+    finally:
+        session.conf.set(cleanup, before)
+    mine = windows.join(small(repeated), "digest").select("doc_id", "nth", "at", "first_doc")
+    ordered = mine.repartition("doc_id").sortWithinPartitions("doc_id", "nth")
+    return ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean")
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows that can be in two documents, and the digests that are, with their first documents; both are staged."""
     marks = stage(rows.mapInArrow(_marks, "mark long, doc_id long"), "marks")
     shared = stage(_shared(marks, "mark").select("mark"), "shared-marks")
     of_doc = stage(marks.join(small(shared), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "document-marks")
     likely = rows.join(small(of_doc), "doc_id").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("version"), "text", "marks")
     windows = stage(likely.mapInArrow(_windows, "digest long, doc_id long, nth long, at long"), "windows")
-    repeated = stage(_shared(windows, "digest"), "repeated")
-    mine = windows.join(small(repeated), "digest").select("doc_id", "nth", "at", "first_doc")
-    ordered = mine.repartition("doc_id").sortWithinPartitions("doc_id", "nth")
-    return ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean")
+    return windows, stage(_shared(windows, "digest"), "repeated")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
