@@ -1,6 +1,7 @@
 """Secret scan: candidate findings of whole texts, with a random forest that removes false positives.
 
-A candidate is a word with digits and at least LEAST characters, or the value after a key name. Its features are length,
+A candidate is a word with digits and at least LEAST characters, every value of a key in such a word, or the value after
+a key name, in the same word or the next. Its features are length,
 character classes and transitions (also against the character bigrams of the corpus dictionary), how much of it
 dictionary words cover, the path, and the neighbouring words. The forest is trained on labelled findings. All steps are
 built-in functions and the JVM's random forest; values are reported as digests only.
@@ -26,6 +27,10 @@ LABELLED, TREES, LEVELS, SEED = 20_000, 40, 8, 17
 #: Probability from which a finding is kept.
 KEPT = 0.5
 _KEY = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+#: A name, then a sign, each with a quote or without.
+_NAME, _SIGN = r"(?<![\p{L}\p{N}_.-])([\p{L}_][\p{L}\p{N}_.-]*+)", r"[\"']?[=:]++[\"']?"
+#: Pairs with signs in the value, one after another; pairs without, also those in the value of another.
+_PAIRS = (_NAME + _SIGN + r"([^\s\"'=:,;](?:[^\s\"',;&]|&(?![\p{L}_][\p{L}\p{N}_.-]*+=)){5,})", _NAME + _SIGN + r"(?=([^\s\"'=:,;&]{6,}+=*+))")
 _HARMLESS = r"(?i)(commit|sha|md5|checksum|digest|hash|revision|uuid|guid|\bid\b|version|build|etag|file|mail|phone|card|isbn)"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0"
 _BIGRAMS = (len(_ALPHABET) + 1) ** 2
@@ -37,18 +42,27 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, path.
     """
-    words = docs.select("doc_id", "path", F.split("text", r"\s+").alias("__w")).where("__w is not null")
-    keyed = lambda w: w.rlike(r"[=:]") & w.rlike(_KEY + r"[\w.-]*[\"']?[=:]+[\"']?[^\s\"'=:]{6,}")
-    is_one = lambda w: (F.length(w) >= LEAST) & w.rlike(r"[0-9]") | keyed(w)
+    # as explode makes it, the list is split once, not again for each word that looks into it
+    words = docs.select("doc_id", "path", F.explode(F.array(F.split("text", r"\s+"))).alias("__w")).where("__w is not null")
+    keyed = lambda w: w.rlike(r"[=:]") & w.rlike(_KEY + r"[\w.-]*[\"']?[=:]+[\"']?[^\s\"'=:,;][^\s\"',;]{5,}")
+    word = lambda i: F.coalesce(F.get("__w", i), F.lit(""))
+    signed = lambda i: word(i - 1).rlike(r"[=:]>?$") & F.concat_ws(" ", word(i - 2), word(i - 1)).rlike(_KEY + r"[\w.-]*[\"'\])]*\s?[=:]+>?$")
+    led = lambda w, i: w.rlike("^[=:]") & word(i - 1).rlike(_KEY + r"[\w.-]*[\"'\])]*$")
+    is_one = lambda w, i: (F.length(w) >= LEAST) & w.rlike(r"[0-9]") | keyed(w) | (F.length(w) >= 6) & (signed(i) | led(w, i))
     # places of the candidates; the other words become -1
-    places = F.filter(F.transform("__w", lambda w, i: F.when(is_one(w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    places = F.filter(F.transform("__w", lambda w, i: F.when(is_one(w, i), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     at = words.withColumn("__p", places).where(F.size("__p") > 0).select("doc_id", "path", "__w", F.explode("__p").alias("position"))
-    near = lambda d: F.coalesce(F.get("__w", F.col("position") + d), F.lit(""))
+    near = lambda d: word(F.col("position") + d)
     picked = at.select("doc_id", "path", "position", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"))
-    split = r"^[^\p{L}\p{N}_]*([\p{L}_][\p{L}\p{N}_.-]{1,40})[\"']?[=:]+[\"']?([^\s\"'=:,;][^\s\"',;]{5,})"
-    value = F.when(F.regexp_extract("word", split, 2) != "", F.regexp_extract("word", split, 2)).otherwise(F.col("word"))
-    bare = F.regexp_replace(value, r"^[^\p{L}\p{N}/+_-]+|[^\p{L}\p{N}/+=_-]+$", "")
-    return picked.withColumns({"value": bare, "key": F.regexp_extract("word", split, 1), "quoted": F.col("word").rlike("[\"']")}).where("value != ''").drop("word")
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    pairs = [F.zip_with(*[F.regexp_extract_all("word", F.lit(p), F.lit(g)) for g in (1, 2)], pair) for p in _PAIRS]
+    # the word itself, unless it begins with a pair
+    starts = F.col("word").rlike(r"^[^\p{L}\p{N}_]*" + _NAME + _SIGN + r"[^\s\"'=:,;][^\s\"',;]{5,}")
+    key = F.when(F.col("word").rlike("^[=:]"), F.regexp_extract("before1", r"[\p{L}_][\p{L}\p{N}_.-]*", 0)).otherwise(F.lit(""))
+    whole = F.filter(F.array(pair(key, F.col("word"))), lambda _: ~starts)
+    split = picked.withColumn("__v", F.explode(F.array_distinct(F.concat(*pairs, whole))))
+    bare = F.regexp_replace("__v.value", r"^[^\p{L}\p{N}/+_-]+|[^\p{L}\p{N}/+=_-]+$", "")
+    return split.withColumns({"value": bare, "key": F.col("__v.key"), "quoted": F.col("word").rlike("[\"']")}).where("value != ''").drop("word", "__v")
 
 
 def dictionary(docs: DataFrame, documents: int = DICTIONARY_DOCUMENTS) -> DataFrame:
