@@ -38,14 +38,58 @@ def test_recall_and_scores(spark):
 
 def test_few_candidates_ties_and_unusable_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, None, 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [None, 1.0], 0), (8, [float("inf"), 0.0], 0), (9, [1.0, 2.0, 3.0], 0), (None, [9.0, 9.0], 0), (20, [1.0, 0.0], 0)]
-    table = spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.lit("clash"))
+    rows = [(0, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, None, 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [None, 1.0], 0), (8, [float("inf"), 0.0], 0), (9, [1.0, 2.0, 3.0], 0), (None, [9.0, 9.0], 0), (20, [1.0, 0.0], 0), (10, [], 0)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.lit("clash")).withColumn("row", F.lit("clash"))
     got = [tuple(r) for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 1.0), (0, 4, 3, 0.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 1.0), (20, 4, 3, 0.0)]
     assert ann.neighbours(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.neighbours(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def _brute(rows, k=20):
+    """(query_id, rank, vec_id, score) of all rows as candidates but the query's own, by sums in the components' order."""
+    out = []
+    for i, (q, u) in enumerate(rows):
+        if q % 20 == 0:
+            scored = []
+            for j, (v, w) in enumerate(rows):
+                if i != j and len(u) == len(w):
+                    total = 0.0
+                    for x, y in zip(u, w, strict=True):
+                        total += x * y
+                    scored.append((-total, v))
+            out += [(q, r, v, -s) for r, (s, v) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_mixed_dimensions_and_repeated_ids_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=(2, 5, 8)[i % 3])]) for i in range(90)]
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in (0, 1, 20)]  # other vectors of the same ids
+    rows += [(0, rows[0][1]), (7, rows[7][1])]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = sorted(tuple(r) for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).collect())
+    assert got == _brute(rows)
+
+
+def test_cells_stay_small_and_recall_holds_beyond_the_sample(spark, monkeypatch):
+    for name, value in (("SAMPLE", 300), ("LEAF", 32), ("MOST", 64), ("LEAST", 16), ("TRIALS", 40)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12))
+    vectors = {i: (centres[i % 30] + 0.4 * rng.normal(size=12)).tolist() for i in range(2_500)}
+    table = spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], SCHEMA)
+    seen = []
+    monkeypatch.setattr(ann, "calibrated", lambda index, *a, own=ann.calibrated: (seen.append(index), own(index, *a))[1])
+    found = {}
+    for r in ann.neighbours(table, F.col("vec_id") % 20 == 0, trees=4).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    sizes = [r["count"] for r in seen[0].members.groupBy("cell").count().collect()]
+    assert seen[0].levels and max(sizes) <= 64 and sum(sizes) == 4 * 2_500
+    assert len(found) == 125 and np.mean([len(v & set(_exact(vectors, q))) / 20 for q, v in found.items()]) >= 0.9
+
+
 def test_a_third_of_the_rows_is_one_vector(spark):
     rng = np.random.default_rng(8)
     vectors = {i: [1.0, 1.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=4).tolist() for i in range(600)}
