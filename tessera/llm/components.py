@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stage
+from tessera.llm.shared import BROADCAST_BYTES, small, stage, stored_bytes
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over edges (u, v), u > v: neighbours are linked to the least neighbour instead."""
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One star round over edges (u, v), u > v: neighbours are linked to the least neighbour instead.
+
+    few: the edges are known to be so few that a row for each node may be sent to every task. Else these rows are staged,
+    for a join by shuffle in which the rows of a hub can be split.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    linked = both.join(least, "u")
+    linked = both.join(F.broadcast(least) if few else small(stage(least, "least")), "u")
     if large:
         return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = stage(edges, "links")
     before = None
     for _ in range(rounds):
-        edges = stage(_star(_star(edges, large=True), large=False), "stars")
+        few = stored_bytes(edges) <= BROADCAST_BYTES // 2
+        edges = stage(_star(_star(edges, True, few), False, few), "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == before:
             break

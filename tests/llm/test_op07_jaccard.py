@@ -85,9 +85,35 @@ def test_edges(make):
     assert op.jaccard_join(frame.where("false")).count() == 0
 
 
-def test_depth_reaches_the_recall():
-    d = op.depth_for(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** op.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** op.TREES
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    rng, threshold, recall = np.random.default_rng(6), 0.8, 0.999
+    floor = op.floor_for(threshold, recall)
+    kinds = op.DEPTH - floor + 1
+    below = np.sort(rng.integers(1, 50, (40, op.TREES, kinds)), axis=2)[:, :, ::-1].copy()
+    below[0] = 1  # alone everywhere: shortened for nothing
+    below[1, :, :] = np.arange(kinds, 0, -1)  # every step costs the same
+    below[2, 3, :-1] = 10_000  # a crowded trie
+    got = op.depths(below, threshold, recall)
+    assert got.min() >= floor and got.max() <= op.DEPTH and (got[0] == floor).all()
+    miss = (1 - threshold**got).prod(1)
+    assert (miss <= 1 - recall).all() and got[2, 3] == op.DEPTH
+    assert (miss[1] > (1 - recall) * 0.8) and (got[1] > floor).any()  # no further than needed
+    assert op.floor_for(0.5, 0.999) < op.FLOOR
+
+
+def test_repeated_ids_with_other_texts(make):
+    rng = random.Random(8)
+    a, b = ([f"{c}{rng.randrange(9000)}" for _ in range(60)] for c in "ab")
+    changed = lambda w: " ".join(["new", *w[1:]])
+    rows = op.jaccard_join(make((1, " ".join(a)), (1, " ".join(b)), (5, changed(a)), (6, changed(b)))).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 1, 1, 1), (1, 1, 1, 1), (5, 1, 5, 1), (6, 1, 6, 1)]
+
+
+def test_sizes_far_apart_are_not_compared(make):
+    words = [f"w{k}" for k in range(400)]
+    docs = [(n, " ".join(words[:n])) for n in range(5, 400, 7)]  # a chain of prefixes over many levels of size
+    got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in op.jaccard_join(make(*docs)).collect()}
+    assert got == _brute(docs)
 
 
 def test_overlaps_in_parts(monkeypatch):
@@ -96,6 +122,7 @@ def test_overlaps_in_parts(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, 25).astype(np.uint64)) for _ in range(9)]
     got = op.overlaps(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+    assert (op.overlaps(sets[:4], sets[4:]) == got[:4, 4:]).all()
 
 
 def test_shingle_sets():
