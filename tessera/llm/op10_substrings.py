@@ -1,9 +1,11 @@
 """Substring deduplication: passages of WORDS words or more that several documents hold, byte for byte.
 
-A passage is repeated where each window of WORDS words, with the space between them, has a digest that another document
-has too; overlapping windows are joined, so ends are exact to the word. So that not all windows are counted, a window's
-mark is the least hash of the runs of GRAM words in it (winnowing): windows of the same bytes have the same mark, one
-mark stands for many neighbouring windows, and only windows with a mark that several documents have are counted.
+1. Texts are cut in variable chunks by their content: a chunk begins at the word before which a gear rolling hash is the
+   least of SPAN words in a row. An inserted word moves the cuts near it only, and every passage of WORDS words holds
+   whole chunks, the same ones wherever it stands.
+2. Chunks are deduplicated by digest over all documents: those that several documents hold are shared.
+3. Only a window of WORDS words whose own chunks are all shared can be in two documents. The digests of these windows,
+   which are the exact check, are counted; overlapping repeated windows are one passage, so its ends are exact to the word.
 """
 
 from __future__ import annotations
@@ -20,97 +22,119 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import read, small, stage, tune
 from tessera.llm.textarrays import chunks, flat, mixed
 
-#: Bytes that the gear hash sees, zero bits at a boundary (a chunk has 2 ** BITS bytes on average), longest chunk.
-WINDOW, BITS, LONGEST = 16, 5, 1024
-#: In a chunk of more bytes than LONG, fewer zero bits do, at LEAST bytes or more from each other: text that repeats a
-#: few words has few different hashes, maybe none with all bits.
-LONG, BACKUP_BITS, LEAST = 256, 1, 24
-#: A repeated passage has at least so many whole words; words in a run that is hashed for the marks.
-WORDS, GRAM = 50, 25
+#: Bytes that the gear hash sees; a repeated passage has at least so many whole words.
+WINDOW, WORDS = 16, 50
+#: Words of which one begins a chunk. As 50 words hold 42 that have WINDOW bytes of them before, twice as many as SPAN,
+#: two of them begin chunks, and the chunk between is whole.
+SPAN = 21
+#: A word of more bytes (a script without spaces, say) is cut into words where so many bits of the hash are zero.
+UNBROKEN, BITS = 256, 4
 #: Windows that are joined at once.
 ROWS = 200_000
 _GEAR = np.random.default_rng(10_16).integers(0, 1 << 16, 256, dtype=np.uint16)
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sorted first bytes of all content-defined chunks (repeated_spans does not use them); data: texts in a row, starts: their first bytes (ascending, in data)."""
+def gear(data: np.ndarray) -> np.ndarray:
+    """The rolling hash of the WINDOW bytes up to each byte."""
     h, step = _GEAR[data], 1
     while step < WINDOW:  # twice as many bytes with each step
         older = np.zeros_like(h)
         older[step:] = h[:-step]
         h = h + (older << np.uint16(step))
         step *= 2
-    cut = np.flatnonzero((h >> np.uint16(16 - BITS)) == 0) + 1
-    cut = cut[cut < len(data)]
-    cut = cut[(data[cut] & 0xC0) != 0x80]  # between characters only
-    # the first WINDOW bytes of a text would see the text before it
-    cut = cut[cut - starts[np.searchsorted(starts, cut, side="right") - 1] >= WINDOW]
-    first = np.union1d(cut, starts)
-    sizes = np.diff(np.append(first, len(data)))
-    backups: list[int] = []
-    for a, size in zip(first[sizes > LONG].tolist(), sizes[sizes > LONG].tolist(), strict=True):
-        inside = np.flatnonzero((h[a + WINDOW - 1 : a + size - 1] >> np.uint16(16 - BACKUP_BITS)) == 0) + a + WINDOW
-        last = a
-        for at in inside[(data[inside] & 0xC0) != 0x80].tolist():
-            if at - last >= LEAST:
-                backups.append(at)
-                last = at
-    first = np.union1d(first, np.array(backups, first.dtype))
-    sizes = np.diff(np.append(first, len(data)))
-    extra = (sizes - 1) // LONGEST
-    if extra.any():
-        at = np.repeat(first, extra)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
-        first = np.union1d(first, at + nth * LONGEST)
-    return first
-
-
-def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and text of every word, which is a run of bytes above the space; starts: as in boundaries()."""
+    return h
+
+
+def words_of(data: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and text of every word. data: texts in a row, starts: their first bytes (ascending, in data), h: gear(data).
+
+    A word is a run of bytes above the space; one of more than UNBROKEN bytes is cut between characters, by content.
+    """
     space = data <= 32
     opens, closes = np.concatenate([[True], space[:-1]]), np.concatenate([space[1:], [True]])
     opens[starts] = True
     closes[starts[1:] - 1] = True
     begin, end = np.flatnonzero(~space & opens), np.flatnonzero(~space & closes) + 1
+    if len(begin) and (end - begin).max() > UNBROKEN:
+        cut = np.flatnonzero((h >> np.uint16(16 - BITS)) == 0) + 1
+        cut = cut[cut < len(data)]
+        run = np.searchsorted(begin, cut, side="right") - 1
+        cut = cut[(run >= 0) & (cut - begin[run] >= WINDOW) & (cut < end[run]) & (end[run] - begin[run] > UNBROKEN) & ((data[cut] & 0xC0) != 0x80)]
+        cut = cut[np.diff(cut, prepend=-WINDOW) >= WINDOW]  # not everywhere in text of one letter
+        begin, end = np.union1d(begin, cut), np.union1d(end, cut)
     return begin, end, np.searchsorted(starts, begin, side="right") - 1
 
 
-def _grams(data: np.ndarray, begin: np.ndarray) -> Callable[[int], np.ndarray]:
-    """A function of k that gives, for each word but the last k - 1, a hash of the bytes from there to the end of the k-th word."""
-    data, begin = data[begin[0] :], begin - begin[0]
-    length = np.diff(np.append(begin, len(data)))
-    power = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-    terms = (data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(begin, length)]
-    spaced = mixed(np.add.reduceat(terms, begin))  # with the space after the word
-    terms[data <= 32] = 0
-    last = mixed(np.add.reduceat(terms, begin))
-    n = len(begin)
-    up, down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(spaced * up[:n]))
-    return lambda k: mixed((sums[k - 1 : n] - sums[: n - k + 1]) * down[: n - k + 1] + last[k - 1 :] * up[k - 1])
-
-
-def _marked(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Places (among the words), texts, marks and digests of all windows of WORDS words in one text, then the words' first bytes and ends.
-
-    The mark is the least hash of the GRAM-word runs in the window, so it depends on the window's bytes only.
-    """
-    begin, end, text = _words(data, starts)
-    if len(begin) < WORDS:
-        return None
-    grams = _grams(data, begin)
-    least, step, many = grams(GRAM), 1, WORDS - GRAM + 1
-    while step < many:  # the minimum over twice as many runs with each step
-        more = min(step, many - step)
+def chunk_starts(begin: np.ndarray, text: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words at which chunks begin (ascending), and for each word the one that begins a chunk among it and the
+    SPAN - 1 after it, where they are of one text (else -1). The other arguments are as words_of() has them."""
+    own = h[np.maximum(begin - 1, 0)].astype(np.uint64)
+    own[begin - starts[text] < WINDOW] = 1 << 16  # the hash would see the text before
+    place = np.arange(len(begin), dtype=np.uint64)
+    least, step = own << np.uint64(40) | np.uint64((1 << 40) - 1) - place, 1  # of equal ones the last
+    while step < SPAN:  # the minimum over twice as many words with each step
+        more = min(step, SPAN - step)
         least = np.minimum(least[:-more], least[more:])
         step += more
-    at = np.flatnonzero(text[: 1 - WORDS] == text[WORDS - 1 :])
-    return at, text[at], least[at], grams(WORDS)[at], begin, end
+    chosen = np.full(len(begin), -1)
+    whole = np.flatnonzero(text[: len(least)] == text[SPAN - 1 :])
+    chosen[whole] = (1 << 40) - 1 - (least[whole] & np.uint64((1 << 40) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(text, prepend=-1) > 0)
+    return np.union1d(first, chosen[whole]), chosen
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, tuple]]:
-    """Tables without empty texts, first bytes of their texts, and what _marked() gives of them."""
+def _digests(data: np.ndarray, begin: np.ndarray) -> Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]:
+    """A function of words a and b that gives 128 bits, as two arrays, of the bytes from the first one of a to the end of
+    word b - 1; whole: with the space after it."""
+    data, begin = data[begin[0] :], begin - begin[0]
+    length = np.diff(np.append(begin, len(data)))
+    power = np.cumprod(np.full(int(length.max()), _BASES[0], np.uint64))
+    terms = (data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(begin, length)]
+    spaced = np.add.reduceat(terms, begin)
+    terms[data <= 32] = 0
+    last, n, parts = np.add.reduceat(terms, begin), len(begin), []
+    for base in _BASES:
+        up, down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+        parts.append((np.append(np.zeros(1, np.uint64), np.cumsum(mixed(spaced ^ np.uint64(base)) * up[:n])), mixed(last ^ np.uint64(base)), up, down))
+
+    def digest(a: np.ndarray, b: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for sums, bare, up, down in parts:
+            x = (sums[b if whole else b - 1] - sums[a]) * down[a]
+            found.append(mixed(x if whole else x + bare[b - 1] * up[b - 1 - a]).view(np.int64))
+        return found[0], found[1]
+
+    return digest
+
+
+class _Cut:
+    """The words, chunks and digests of texts in a row."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
+        h = gear(data)
+        self.begin, self.end, self.text = words_of(data, starts, h)
+        self.cuts, self.chosen = chunk_starts(self.begin, self.text, starts, h) if len(self.begin) >= WORDS else (np.zeros(0, int), np.zeros(0, int))
+        self.digest = _digests(data, self.begin) if len(self.begin) >= WORDS else None
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text and digest of each chunk."""
+        return self.text[self.cuts], *self.digest(self.cuts, np.append(self.cuts[1:], len(self.begin)), True)
+
+    def windows(self, shared: np.ndarray) -> np.ndarray:
+        """First words of the windows of WORDS words in one text whose chunks are all shared (a flag of each chunk)."""
+        at = np.flatnonzero(self.text[: 1 - WORDS] == self.text[WORDS - 1 :])
+        # the first word of which the hash sees nothing before the window, and the chunks from there on
+        inner = np.searchsorted(self.begin, self.begin[at] + WINDOW)
+        first, last = self.chosen[inner], self.chosen[at + WORDS - SPAN]
+        a, b = np.searchsorted(self.cuts, first), np.searchsorted(self.cuts, last)
+        known = np.append(0, np.cumsum(shared))
+        unsure = (inner + SPAN > at + WORDS) | (b <= a)  # words of one byte without spaces: no chunk need be whole
+        return at[unsure | (known[np.maximum(a, b)] - known[a] == b - a)]
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, _Cut]]:
+    """Tables without empty texts, the first bytes of their texts, and their words and chunks."""
     for table in chunks(batches):
         table = table.filter(pc.greater(pc.binary_length(table["text"]), 0))
         if not table.num_rows:
@@ -118,34 +142,37 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
         texts = flat(table["text"].cast(pa.large_string()))
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         starts = ends[:-1] - ends[0]
-        found = _marked(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], starts)
-        if found is not None:
-            yield table, starts, found
+        cut = _Cut(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], starts)
+        if cut.digest is not None:
+            yield table, starts, cut
 
 
-def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mark, doc_id: the marks of every document's windows, equal neighbours once."""
-    for table, _, (_, text, mark, *_) in _texts(batches):
-        new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])])[: len(mark)]
-        owner = flat(table["doc_id"]).take(pa.array(text[new]))
-        yield pa.RecordBatch.from_arrays([pa.array(mark[new].view(np.int64)), owner], ["mark", "doc_id"])
+def _chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d1, d2, doc_id: the chunks of every document that can hold a passage."""
+    for table, _, cut in _texts(batches):
+        text, d1, d2 = cut.chunks()
+        long = np.bincount(cut.text, minlength=table.num_rows)[text] >= WORDS
+        yield pa.RecordBatch.from_arrays([pa.array(d1[long]), pa.array(d2[long]), flat(table["doc_id"]).take(pa.array(text[long]))], ["d1", "d2", "doc_id"])
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest, doc_id, nth, at: the windows whose mark is one of the document's column marks.
+    """w1, w2, doc_id, nth, at: the windows whose chunks are among the document's shared ones.
 
     nth packs version (31 bits) and the window's place (32), at packs its first byte (31) and bytes (32).
     """
-    for table, starts, (at, text, mark, digest, begin, end) in _texts(batches):
-        lists = flat(table["marks"])
+    for table, starts, cut in _texts(batches):
+        lists = flat(table["shared"])
         owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        of_text = lambda marks, texts: marks + texts.astype(np.uint64) * np.uint64(_BASE)
-        kept = np.isin(of_text(mark, text), of_text(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), owner))
-        at, text = at[kept], text[kept]
+        of_text = lambda d, texts: d.view(np.uint64) ^ mixed(texts.astype(np.uint64) + np.uint64(1))
+        text, d1, _ = cut.chunks()
+        at = cut.windows(np.isin(of_text(d1, text), of_text(lists.flatten().to_numpy(zero_copy_only=False), owner)))
+        text = cut.text[at]
+        start, stop = cut.begin[at] - starts[text], cut.end[at + WORDS - 1] - starts[text]
+        # places count from the text's own first word
+        nth = at - np.searchsorted(cut.text, text)
+        w1, w2 = cut.digest(at, at + WORDS, False)
         version = table["version"].to_numpy()[text]
-        start, stop = begin[at] - starts[text], end[at + WORDS - 1] - starts[text]
-        owner = flat(table["doc_id"]).take(pa.array(text))
-        yield pa.RecordBatch.from_arrays([pa.array(digest[kept].view(np.int64)), owner, pa.array(version << 32 | at), pa.array(start << 32 | stop - start)], ["digest", "doc_id", "nth", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), flat(table["doc_id"]).take(pa.array(text)), pa.array(version << 32 | nth), pa.array(start << 32 | stop - start)], ["w1", "w2", "doc_id", "nth", "at"])
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +180,9 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size, most = 0, ROWS
     for b in batches:
-        doc, nth, at, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        doc, nth, at, first, again = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         low = (1 << 32) - 1
-        held.append(np.column_stack([doc, nth >> 32, nth & low, at >> 32, (at >> 32) + (at & low), first]))
+        held.append(np.column_stack([doc, nth >> 32, nth & low, at >> 32, (at >> 32) + (at & low), first, again]))
         size += b.num_rows
         if size >= most:
             rows = np.concatenate(held)
@@ -174,23 +201,23 @@ def _edges(rows: np.ndarray) -> list[int]:
 
 
 def _joined(rows: np.ndarray) -> list[tuple]:
-    """The spans of one document, split where the least first document of the windows on a word changes.
+    """The spans of one document, split where the least first holder of the windows on a word changes.
 
-    rows: doc_id, version, nth, start, end and first_doc of its windows.
+    rows: doc_id, version, nth, start, end, first_doc and again of its windows.
     """
     rows = rows[np.append(True, rows[1:, 2] != rows[:-1, 2])]  # repeated rows of docs
-    doc, nth, start, end, first = int(rows[0, 0]), *rows[:, 2:].T
-    cuts = np.flatnonzero((np.diff(nth) > WORDS) | (np.diff(first) != 0)) + 1
-    # windows in a row of one first document: its number, first word and the word after, first byte and end
-    runs = [(int(first[a]), int(nth[a]), int(nth[e - 1]) + WORDS, int(start[a]), int(end[e - 1])) for a, e in pairwise([0, *cuts.tolist(), len(nth)])]
+    doc, nth, start, end, first, again = int(rows[0, 0]), *rows[:, 2:].T
+    cuts = np.flatnonzero((np.diff(nth) > WORDS) | (np.diff(first) != 0) | (np.diff(again) != 0)) + 1
+    # windows in a row of one first holder: who, first word and the word after, first byte and end
+    runs = [(int(first[a]), int(again[a]), int(nth[a]), int(nth[e - 1]) + WORDS, int(start[a]), int(end[e - 1])) for a, e in pairwise([0, *cuts.tolist(), len(nth)])]
     base = int(nth[0])
     holder = np.full(int(nth[-1]) + WORDS - base, -1)  # of each word
-    for k in sorted(range(len(runs)), key=lambda k: -runs[k][0]):
-        holder[runs[k][1] - base : runs[k][2] - base] = k
+    for k in sorted(range(len(runs)), key=lambda k: (-runs[k][0], -runs[k][1])):
+        holder[runs[k][2] - base : runs[k][3] - base] = k
     held = holder >= 0
-    source = np.array([r[0] for r in runs])[holder]
-    edges = np.flatnonzero((held[1:] != held[:-1]) | (held[1:] & (source[1:] != source[:-1]))) + 1
-    opens, closes = {r[1]: r[3] for r in runs}, {r[2]: r[4] for r in runs}
+    source, later = (np.array([r[x] for r in runs])[holder] for x in (0, 1))
+    edges = np.flatnonzero((held[1:] != held[:-1]) | (held[1:] & ((source[1:] != source[:-1]) | (later[1:] != later[:-1])))) + 1
+    opens, closes = {r[2]: r[4] for r in runs}, {r[3]: r[5] for r in runs}
     out = []
     for a, e in pairwise([0, *edges.tolist(), len(holder)]):
         if held[a]:
@@ -198,7 +225,7 @@ def _joined(rows: np.ndarray) -> list[tuple]:
             left = opens[a + base] if a + base in opens else closes[a + base]
             goes_on = e < len(holder) and held[e]
             right = opens[e + base] if goes_on and e + base in opens else closes[e + base]
-            out.append((doc, left, right - left, e - a, int(source[a]), int(source[a]) != doc))
+            out.append((doc, left, right - left, e - a, int(source[a]), int(source[a]) != doc or bool(later[a])))
     return out
 
 
@@ -207,42 +234,44 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "bytes", "words", "first_doc_id", "removed"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, within: bool = False) -> DataFrame:
     """doc_id, start, bytes, words, first_doc_id, removed: every repeated passage of every document.
 
-    docs: doc_id long, text. start and bytes are in UTF-8 bytes and cover whole words. first_doc_id is the least
-    document that holds a window on the word; removed is false where that is the document itself. A passage is split
-    where it changes, so a part can be short, but each word lies in a passage of WORDS words. Every removed word is in a
-    window of a document with a lesser id, so one copy of it stays. Passages that only one document holds, however
-    often, are none; null and empty texts and rows without an id have none; repeated rows count as one.
+    docs: doc_id long, text; other columns are not looked at. start and bytes are in UTF-8 bytes and cover whole words.
+    first_doc_id is the least document that holds a window on the word; removed is false where that is the document
+    itself. A passage is split where it changes, so a part can be short, but each word lies in a passage of WORDS words.
+    Every removed word is in a window of a document with a lesser id, so one copy of it stays. Passages that only one
+    document holds are none, unless within is set: then they are repeated too, and removed but for the first.
+    Null and empty texts and rows without an id have none; repeated rows count as one; a text of any length is read
+    whole; an empty table gives no rows. Words of more than UNBROKEN bytes count as several (see words_of).
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if within:
+        rows = rows.distinct()
     cleanup, session = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", docs.sparkSession
     before = session.conf.get(cleanup)
     session.conf.set(cleanup, "true")  # what is staged needs no shuffle files
     try:
-        windows, repeated = _counted(rows)
+        windows, repeated = _counted(rows, within)
     finally:
         session.conf.set(cleanup, before)
-    mine = windows.join(small(repeated), "digest").select("doc_id", "nth", "at", "first_doc")
-    ordered = mine.repartition("doc_id").sortWithinPartitions("doc_id", "nth")
+    mine = windows.join(small(repeated), ["w1", "w2"])
+    again = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("nth") != F.col("first.nth")) if within else F.lit(False)
+    ordered = mine.select("doc_id", "nth", "at", F.col("first.doc_id").alias("first_doc"), again.cast("long").alias("again")).repartition("doc_id").sortWithinPartitions("doc_id", "nth")
     return ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean")
 
 
-def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The windows that can be in two documents, and the digests that are, with their first documents; both are staged."""
-    marks = stage(rows.mapInArrow(_marks, "mark long, doc_id long"), "marks")
-    shared = stage(_shared(marks, "mark").select("mark"), "shared-marks")
-    of_doc = stage(marks.join(small(shared), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "document-marks")
-    likely = rows.join(small(of_doc), "doc_id").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("version"), "text", "marks")
-    windows = stage(likely.mapInArrow(_windows, "digest long, doc_id long, nth long, at long"), "windows")
-    return windows, stage(_shared(windows, "digest"), "repeated")
-
-
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """key, first_doc: the values of key that two documents or more hold."""
-    held = rows.groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return held.where("first_doc != last_doc").select(key, "first_doc")
+def _counted(rows: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
+    """The windows that can be repeated, and the digests that are, with their first holders; both are staged."""
+    cut = stage(rows.mapInArrow(_chunk_rows, "d1 long, d2 long, doc_id long"), "chunks")
+    many = F.count("*") > 1 if within else F.min("doc_id") != F.max("doc_id")
+    shared = stage(cut.groupBy("d1", "d2").agg(many.alias("many")).where("many").select("d1", "d2"), "shared-chunks")
+    of_doc = stage(cut.join(small(shared), ["d1", "d2"]).groupBy("doc_id").agg(F.collect_set("d1").alias("shared")), "document-chunks")
+    likely = rows.join(small(of_doc), "doc_id").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("version"), "text", "shared")
+    windows = stage(likely.mapInArrow(_windows, "w1 long, w2 long, doc_id long, nth long, at long"), "windows")
+    first = F.min(F.struct("doc_id", "nth")) if within else F.struct(F.min("doc_id").alias("doc_id"))
+    held = windows.groupBy("w1", "w2").agg(first.alias("first"), many.alias("many")).where("many")
+    return windows, stage(held.select("w1", "w2", "first"), "repeated")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:

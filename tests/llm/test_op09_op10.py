@@ -137,14 +137,27 @@ def test_repeats_are_found_and_resist_insertions(make):
 
 
 def _pieces(text):
-    first = cdc.boundaries(np.frombuffer(text, np.uint8), np.array([0])).tolist()
+    data, starts = np.frombuffer(text, np.uint8), np.array([0])
+    h = cdc.gear(data)
+    begin, _, owner = cdc.words_of(data, starts, h)
+    first = begin[cdc.chunk_starts(begin, owner, starts, h)[0]].tolist()
     return [text[a:b] for a, b in zip(first, [*first[1:], len(text)], strict=True)]
 
 
 def test_chunks_move_with_their_content():
     text = _prose(random.Random(5), 400).encode()
-    assert b"".join(_pieces(text)) == text
-    assert len(set(_pieces(text)) - set(_pieces(text[:700] + b" inserted words" + text[700:]))) <= 2
+    assert b"".join(_pieces(text)) == text and len(_pieces(text)) > 20
+    assert len(set(_pieces(text)) - set(_pieces(text[:700] + b" inserted words" + text[700:]))) <= 3
+
+
+@pytest.mark.parametrize("longest", [1, 2, 8])
+def test_every_passage_holds_a_whole_chunk(longest):
+    rng = random.Random(longest)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, longest))) for _ in range(n))
+    for _ in range(200):
+        passage = prose(50)
+        one, two = (set(_pieces(f"{prose(rng.randint(0, 60))} {passage} {prose(rng.randint(0, 60))}".strip().encode())) for _ in range(2))
+        assert any(p in passage.encode() for p in one & two)
 
 
 def test_cutting_gives_whole_characters_back(make):
@@ -197,6 +210,39 @@ def test_repeats_equal_brute_force(make, letters, longest):
     assert found == _exact_words(docs) and len(found) > 2_000
 
 
+def test_long_runs_without_spaces_are_cut_by_content(make):
+    rng = random.Random(41)
+    passage, *rest = ("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (1_500, 700, 900, 1_100, 300))
+    spans = cdc.repeated_spans(make((1, rest[0] + passage + rest[1]), (2, rest[2] + passage), (3, rest[3]), (4, "y" * 200_000))).collect()
+    assert {r["doc_id"] for r in spans} == {1, 2}
+    assert all(0.8 * len(passage.encode()) < sum(r["bytes"] for r in spans if r["doc_id"] == i) <= len(passage.encode()) for i in (1, 2))
+
+
+def test_repeats_within_a_document_equal_brute_force(make):
+    rng = random.Random(43)
+    docs = []
+    for i in range(20):
+        parts = [_prose(rng, rng.choice([20, 49, 50, 70])) for _ in range(4)]
+        docs.append((i, " ".join(rng.choice(parts) for _ in range(7))))
+    docs += [(30, docs[3][1]), (31, " of the" * 80 + " " + _prose(rng, 60))]
+    places = {}
+    for i, text in docs:
+        words = text.split()
+        for k in range(len(words) - 49):
+            places.setdefault(tuple(words[k : k + 50]), []).append((i, k))
+    want = {(i, k + j) for own in places.values() if len(own) > 1 for i, k in own for j in range(50)}
+    frame = make(*docs, docs[0])
+    spans = cdc.repeated_spans(frame, within=True)
+    found = set()
+    for r in spans.collect():
+        before = len(dict(docs)[r["doc_id"]].encode()[: r["start"]].split())
+        found |= {(r["doc_id"], before + k) for k in range(r["words"])}
+    assert found == want
+    left = {r["doc_id"]: r["text"] for r in cdc.without_repeats(frame, spans).collect()}
+    assert {w for t in left.values() for w in t.split()} == {w for _, t in docs for w in t.split()}
+    assert left[31].split()[:51] == ["of", "the"] * 25 + ["of"] and len(left[31].split()) == 51 + 60
+
+
 def test_every_passage_keeps_one_holder(make):
     rng = random.Random(17)
     a, b, c = (_prose(rng, n) for n in (60, 150, 60))
