@@ -1,9 +1,12 @@
 """Cross-entropy difference: how much nearer a document is to a target corpus than to the background.
 
-Both models are interpolated Kneser-Ney models of the same order over one vocabulary of characters, counted over all
-documents: the background over every document, the target over those labelled as good. Each token's (character's)
-difference of losses is summed over the document. Up to MOST_GRAMS different n-grams the models are sent to every task;
-beyond, they stay tables and are joined: every n-gram of a counted document is in the background's counts.
+Both are interpolated bigram models of words over one vocabulary, that of all documents: the target counts the documents
+labelled as good, the background all others, scaled to the target's size, so that equal counts mean the same in both. A
+document is scored without its own counts. Each token's difference of losses is summed over the document.
+
+All n-grams are counted, so what is counted grows with the corpus, and no task or driver holds it. Texts are read in
+chunks; a chunk sends each of its n-grams once, with its counts, to the n-gram's bucket, gets the totals back, and scores
+its documents. A frequent n-gram is thus one entry of a chunk, however many documents have it.
 """
 
 from __future__ import annotations
@@ -12,109 +15,168 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.charlm import ORDER, CharLM, count_grams
 from tessera.llm.shared import read, small, stage, tune
-from tessera.llm.textarrays import NOT_WORD, WORD_CHUNK_BYTES, Tokens, chunks
-
-TARGET, BACKGROUND = "target", "background"
-#: Different n-grams of models that a task may hold, about 60 bytes each.
-MOST_GRAMS = 1_000_000
-
-
-def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """class, gram, n of the target and the background (which includes the target). docs: text, in_target boolean."""
-    counts = count_grams(docs.select("text", F.when(F.coalesce("in_target", F.lit(False)), TARGET).otherwise("rest").alias("class")), NOT_WORD, order)
-    return counts.where(F.col("class") == TARGET).unionByName(counts.withColumn("class", F.lit(BACKGROUND)))
-
-
-def fit_models(docs: DataFrame) -> CharLM | None:
-    """Both models, to be sent to every task; None without any word."""
-    counts = counted(docs)
-    return CharLM.from_counts(counts, [TARGET, BACKGROUND]) if counts.limit(1).count() else None
-
-
-def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, t, b: the probability of the last character after the others, of every counted n-gram, as a table."""
-    levels = {order: stage(counts.groupBy("gram").pivot("class", [TARGET, BACKGROUND]).agg(F.sum("n")).na.fill(0).toDF("gram", "t", "b"), "level")}
-    for k in range(order - 1, 0, -1):
-        shorter = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram"))
-        levels[k] = stage(shorter.agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("b") > 0).alias("b")), "level")
-    base, below = 1 / (levels[1].count() + 1), None
-    for k in range(1, order + 1):
-        seen = levels[k].agg(*[F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in "tb" for n in (1, 2)]).first()
-        rows = levels[k].withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
-        totals = rows.groupBy("context").agg(*[x for c in "tb" for x in (F.sum(c).alias(f"all_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
-        rows = rows.join(small(stage(totals, "contexts")), "context")
-        if below is not None:
-            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(small(below.toDF("suffix", "low_t", "low_b")), "suffix")
-        out = []
-        for c in "tb":
-            d = min(0.95, max(0.1, seen[f"{c}1"] / max(seen[f"{c}1"] + 2 * seen[f"{c}2"], 1))) if seen[f"{c}1"] else 0.5
-            whole, low = F.col(f"all_{c}"), F.lit(base) if below is None else F.col(f"low_{c}")
-            left = F.when(whole > 0, d * F.col(f"kinds_{c}") / F.greatest(whole, F.lit(1))).otherwise(F.lit(1.0))
-            out.append((F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(whole, F.lit(1)) + left * low).alias(c))
-        below = stage(rows.select("gram", *out), "probabilities")
-    return below
-
-
-def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, word, k: how often a text has each of its words; (row, null, 0) too, for texts without any."""
-    for table in chunks(batches, most=WORD_CHUNK_BYTES):
-        tokens = Tokens(table["text"], NOT_WORD)
-        rows = pa.concat_arrays(table["row"].chunks)
-        owner = np.repeat(np.arange(table.num_rows), np.diff(tokens.offsets))
-        pairs, k = np.unique(owner * max(1, len(tokens.vocab)) + tokens.ids, return_counts=True)
-        at, word = pairs // max(1, len(tokens.vocab)), pairs % max(1, len(tokens.vocab))
-        words = pa.concat_arrays([tokens.vocab.take(pa.array(word)).cast(pa.string()), pa.nulls(table.num_rows, pa.string())])
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([rows.take(pa.array(at)), rows]), words, pa.array(np.concatenate([k, np.zeros(table.num_rows, k.dtype)]))], ["row", "word", "k"])
-
-
-def score_counted(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """As score(), for documents that are all in counts, with joins instead of a model in each task."""
-    numbered = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    words = stage(numbered.select("row", "text").mapInArrow(_word_rows, "row long, word string, k long"), "words")
-    padded = F.concat(F.lit("\x02" * (order - 1)), "word", F.lit("\x03"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(order)))
-    spelled = words.where("word is not null").select("word").distinct().select("word", F.explode(grams).alias("gram"))
-    known = spelled.join(small(probabilities(counts, order)), "gram").groupBy("word").agg(F.count("*").alias("n"), F.sum(-F.ln("t")).alias("t"), F.sum(-F.ln("b")).alias("b"))
-    sums = words.join(small(stage(known, "word-losses")), "word", "left").groupBy("row").agg(*[F.coalesce(F.sum(F.col("k") * F.col(c)), F.lit(0)).alias(c) for c in ("n", "t", "b")])
-    per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(0.0))
-    joined = numbered.select("doc_id", "row").join(sums, "row")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_tokens"), per("t").alias("ce_target"), per("b").alias("ce_background"), (per("t") - per("b")).alias("score"))
+from tessera.llm.textarrays import NOT_WORD, WORD_CHUNK_BYTES, Tokens, chunks, code_points, mixed, word_hashes
+
+#: Bytes of text for each bucket of n-grams, about.
+BUCKET_BYTES = 16 << 20
+#: Weight of the bigram after a frequent word, occurrences of a word at which it has half of that, added to each word's count.
+WEIGHT, HALF, ADDED = 0.8, 1.0, 0.5
+_BOUNDARY = np.uint64(0x5851F42D4C957F2D)
+_SCHEMA = "chunk long, bucket int, keys binary, target binary, rest binary, ids binary, offsets binary, words binary, n_target long, n_rest long, members array<boolean>"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
+class _Grams:
+    """The n-grams of a chunk: its words by number, then its bigrams. A document is its words between boundaries, which
+    are one mark, the last number."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        """words: hashes; ids: the word at each token; offsets: first token of each document, and the end."""
+        sizes = np.diff(offsets)
+        some, n = sizes > 0, len(words)
+        self.sizes = np.where(some, sizes + 1, 0)  # the closing mark is a token too
+        self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
+        ends = np.cumsum(self.sizes)[some] - 1
+        self.token = np.full(len(self.owner), n)
+        inside = np.ones(len(self.owner), bool)
+        inside[ends] = False
+        self.token[inside] = ids
+        self.before = np.append(n, self.token[:-1]) if len(self.token) else self.token  # each document follows a mark
+        hashes = np.append(words, _BOUNDARY)
+        code, self.bigram = np.unique(self.before * (n + 1) + self.token, return_inverse=True)
+        pair = mixed(hashes[code // (n + 1)] * np.uint64(0x9E3779B97F4A7C15) + hashes[code % (n + 1)])
+        self.keys = np.concatenate([hashes | np.uint64(1), pair & ~np.uint64(1)])  # a word's key is odd
+        self.words = n + 1
+
+    def counts(self, flags: np.ndarray) -> np.ndarray:
+        """How often each n-gram is in the documents with a flag."""
+        own = flags[self.owner]
+        return np.concatenate([np.bincount(self.token[own], minlength=self.words), np.bincount(self.bigram[own], minlength=len(self.keys) - self.words)])
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams ordered by bucket, and the first of each bucket and the end."""
+        bucket = (self.keys >> np.uint64(1)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def own(self, of_token: np.ndarray) -> np.ndarray:
+        """For each token, how often its document has what of_token says of it."""
+        _, which, times = np.unique(self.owner * (int(of_token.max(initial=0)) + 1) + of_token, return_inverse=True, return_counts=True)
+        return times[which]
+
+
+def _gather(buckets: int):
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each chunk one row without a bucket, with its documents' tokens, and one for each bucket, with its n-grams."""
+        for nth, table in enumerate(chunks(batches, most=WORD_CHUNK_BYTES)):
+            tokens, members = Tokens(table["text"], NOT_WORD), np.array(table["in_target"].to_pylist(), bool)
+            words = word_hashes(*code_points(tokens.vocab))
+            grams = _Grams(words, tokens.ids, tokens.offsets)
+            chunk, (order, edges) = TaskContext.get().partitionId() << 32 | nth, grams.dealt(buckets)
+            keys, target, rest = grams.keys[order], grams.counts(members)[order], grams.counts(~members)[order]
+            own = members[grams.owner]
+            row = {
+                "chunk": chunk, "bucket": -1, "ids": _packed(tokens.ids.astype(np.int32)), "offsets": tokens.offsets.astype(np.int64).tobytes(), "words": words.tobytes(),
+                "n_target": int(own.sum()), "n_rest": int((~own).sum()), "doc_ids": table["doc_id"].to_pylist(), "members": members.tolist(),
+            }
+            rows = [row]
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[k], edges[k + 1])
+                rows.append({"chunk": chunk, "bucket": k, "keys": keys[part].tobytes(), "target": _packed(target[part]), "rest": _packed(rest[part])})
+            schema = pa.schema([
+                ("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "target", "rest", "ids", "offsets", "words")),
+                ("n_target", pa.int64()), ("n_rest", pa.int64()), ("members", pa.list_(pa.bool_())), ("doc_ids", pa.list_(table.schema.field("doc_id").type)),
+            ])
+            yield from pa.Table.from_pylist(rows, schema).to_batches()
+
+    return gather
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """The totals of a bucket's n-grams, for each chunk in its order, and the number of different words (chunk -1)."""
+    held = [np.frombuffer(k.as_py(), np.uint64) for k in rows["keys"]]
+    sizes = [len(k) for k in held]
+    keys, which = np.unique(np.concatenate(held), return_inverse=True)
+    out = []
+    for name in ("target", "rest"):
+        counts = np.concatenate([_unpacked(x.as_py(), n, np.int64) for x, n in zip(rows[name], sizes, strict=True)])
+        totals = np.bincount(which, weights=counts, minlength=len(keys)).astype(np.int64)[which]
+        out.append([_packed(x) for x in np.split(totals, np.cumsum(sizes)[:-1])] + [b""])
+    bucket = rows["bucket"][0].as_py()
+    return pa.table({
+        "chunk": pa.array([*rows["chunk"].to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(sizes) + 1), pa.int32()),
+        "target": pa.array(out[0], pa.binary()), "rest": pa.array(out[1], pa.binary()), "different": pa.array([0] * len(sizes) + [int((keys & np.uint64(1)).sum())], pa.int64()),
+    })
+
+
+def losses(grams: _Grams, totals: np.ndarray, without: np.ndarray, whole: int, scale: float, different: int) -> np.ndarray:
+    """The loss of each token. totals: of each n-gram; without: whether its document is counted in them, for each token;
+    whole: tokens in the totals; scale: what a count is worth; different: words of the vocabulary."""
+    single, double = totals[: grams.words], totals[grams.words :]
+    mine = lambda of_token: np.where(without, grams.own(of_token), 0)
+    word, before = (scale * (single[x] - mine(x)) for x in (grams.token, grams.before))
+    both = scale * (double[grams.bigram] - mine(grams.bigram))
+    left = scale * (whole - np.where(without, grams.sizes[grams.owner], 0))
+    alone = (word + ADDED) / (left + ADDED * different)
+    weight = WEIGHT * before / (before + HALF)
+    return -np.log(weight * both / np.maximum(before, 1e-300) + (1 - weight) * alone)
 
 
 def score_against_target(docs: DataFrame) -> DataFrame:
-    """The scores of docs (doc_id, text, in_target) by models that are counted over all of them."""
-    counts = counted(docs)
-    kinds = counts.where(F.col("class") == BACKGROUND).select("gram").distinct().count()
-    if kinds > MOST_GRAMS:
-        return score_counted(docs, counts)
-    return score(docs, CharLM.from_counts(counts, [TARGET, BACKGROUND]) if kinds else None)
-
+    """doc_id, n_tokens, ce_target, ce_background, ce_corpus, score: one row for each row of docs (doc_id, text, in_target).
 
-def score(docs: DataFrame, model: CharLM | None) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, score = their difference (lower: nearer the target), for each row.
-
-    A text that is null or has no word has no tokens, and 0.0 in all three.
+    The cross-entropies are nats a token (word, or the end of the text) under the target, the background and all documents
+    together, each without the row itself; score is that of the target less that of the background (lower: nearer the
+    target). A text that is null or has no word has no tokens, and 0.0 in all; a null in_target is false. A text of any
+    length is scored whole. Repeated rows and ids, null ones too, are rows of their own, so a copy of a text is known to
+    the models: ce_corpus is low. Other columns are not looked at. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, most=WORD_CHUNK_BYTES):
-            tokens = Tokens(table["text"], NOT_WORD)
-            n, ce = np.zeros(table.num_rows), np.zeros((table.num_rows, 2))
-            if shared.value and len(tokens.vocab):
-                logs, sizes = shared.value.score(tokens.vocab)
-                n = tokens.sums(sizes.astype(np.float64))
-                ce = -tokens.sums(logs) / np.maximum(n, 1)[:, None]
-            ids = pa.concat_arrays(table["doc_id"].chunks)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(ce[:, 0]), pa.array(ce[:, 1]), pa.array(ce[:, 0] - ce[:, 1])], ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
-
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(differ, f"doc_id {id_type}, n_tokens long, ce_target double, ce_background double, score double")
+    rows = docs.select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    gathered = stage(rows.mapInArrow(_gather(buckets), f"{_SCHEMA}, doc_ids array<{id_type}>"), "lm-chunks")
+    entries = gathered.where("bucket >= 0").select("chunk", "bucket", "keys", "target", "rest")
+    totals = stage(entries.groupBy("bucket").applyInArrow(lambda t: _total(t), "chunk long, bucket int, target binary, rest binary, different long"), "lm-totals")
+    found = gathered.where("bucket < 0").agg(F.sum("n_target").alias("t"), F.sum("n_rest").alias("b")).first()
+    in_target, in_rest = found["t"] or 0, found["b"] or 0
+    different = totals.agg(F.sum("different").alias("n")).first()["n"] or 0
+    scale = in_target / in_rest if in_target and in_rest else 1.0
+    names = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_corpus", "score"]
+
+    def score(own: pa.Table, parts: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        offsets = np.frombuffer(row["offsets"], np.int64)
+        grams = _Grams(np.frombuffer(row["words"], np.uint64), _unpacked(row["ids"], int(offsets[-1]), np.int32).astype(np.int64), offsets)
+        order, edges = grams.dealt(buckets)
+        known = np.zeros((2, len(grams.keys)), np.int64)
+        for part in parts.to_pylist():
+            at = order[edges[part["bucket"]] : edges[part["bucket"] + 1]]
+            known[:, at] = [_unpacked(part[c], len(at), np.int64) for c in ("target", "rest")]
+        member = np.array(row["members"], bool)[grams.owner]
+        n = grams.sizes
+        mean = lambda x: np.bincount(grams.owner, weights=x, minlength=len(n)) / np.maximum(n, 1)
+        t = mean(losses(grams, known[0], member, in_target, 1.0, different))
+        b = mean(losses(grams, known[1], ~member, in_rest, scale, different))
+        c = mean(losses(grams, known.sum(0), np.ones(len(member), bool), in_target + in_rest, 1.0, different))
+        ids = own["doc_ids"].chunk(0).flatten()
+        return pa.Table.from_arrays([ids, *map(pa.array, (n.astype(np.int64), t, b, c, t - b))], names)
+
+    chunk = gathered.where("bucket < 0").select("chunk", "ids", "offsets", "words", "members", "doc_ids").groupBy("chunk")
+    reply = totals.where("chunk >= 0").select("chunk", "bucket", "target", "rest").groupBy("chunk")
+    return chunk.cogroup(reply).applyInArrow(lambda a, b: score(a, b), f"doc_id {id_type}, n_tokens long, ce_target double, ce_background double, ce_corpus double, score double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read, stage
+from tessera.llm.shared import packed, read, small, stage, unpacked
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 #: Words that the dynamic programme may still have to place: its table has so many bits.
 DP_WORDS = 200_000
 #: Documents of one length and source that one task ranks, about.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 1_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -110,40 +110,46 @@ def _fit_source(target_of: dict):
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """docs with size long, source_size long, target double and times int: how often the mix takes the document.
 
-    Needs doc_id, text and source; other columns are kept, columns of the four names are replaced. Documents without
-    words are taken 0 times. A null source is a source of its own; null ids and rows alike in all columns are ranked
-    by their hash, and ties by an arbitrary but whole choice of rows: the number taken is exact. An empty table gives no rows.
+    Needs doc_id, text and source; other columns are kept, whatever their names, but that columns of the four names are
+    replaced. Documents without words are taken 0 times; a text of any length is counted whole. A null source is a source
+    of its own; null ids and rows alike in all columns are ranked by their hash, and ties by an arbitrary but whole choice
+    of rows: the number taken is exact. An empty table gives no rows.
     """
-    spark, mine = docs.sparkSession, ("size", "source_size", "target", "times")
-    sized = docs.drop(*[c for c in mine if c in docs.columns]).withColumns({"size": size_of(), "__rank": F.xxhash64(F.lit(seed), F.col("doc_id"))})
-    narrow = stage(sized.select("source", "size", "__rank"), "mix-sizes")
-    hist = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
+    spark, mine, needed = docs.sparkSession, ("size", "source_size", "target", "times"), ("doc_id", "text", "source")
+    # rows alike in id are told apart by their text, so that they don't go to one part
+    rank = F.xxhash64(F.lit(seed), "doc_id", "text")
+    sized = packed(docs, needed).withColumns({"__size": size_of(), "__rank": rank})
+    narrow = stage(sized.select(F.col("source").alias("__s"), F.col("__size").alias("__n"), "__rank"), "mix-sizes")
+    hist = narrow.groupBy("__s", "__n").agg(F.count("*").alias("n"))
     # one row for a source; the targets need all of them at once
-    by_source = [(r["source"], r["words"]) for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()]
+    by_source = [(r["__s"], r["words"]) for r in hist.groupBy("__s").agg(F.sum(F.col("n") * F.col("__n")).alias("words")).collect()]
     target_of = dict(targets(by_source, weights))
     schema = "source string, size long, n long, whole int, extra long, source_size long, target double"
-    plan = stage(hist.groupBy("source").applyInPandas(_fit_source(target_of), schema), "mix-plan")
-    # lengths with many documents are ranked in parts, by ranges of the hash: whole parts first, then within one part
-    parts = F.ceil(F.col("n") / ROWS_PER_TASK)
-    part = F.pmod(F.shiftrightunsigned("__rank", 1), F.col("__parts")).cast("int")
-    lengths = plan.withColumn("__parts", parts.cast("long"))
-
-    def with_plan(rows: DataFrame) -> DataFrame:
-        return rows.withColumnRenamed("source", "__s").withColumnRenamed("size", "__n").join(
-            lengths.select(F.col("source").alias("__s2"), F.col("size").alias("__n2"), "whole", "extra", "source_size", "target", "__parts"),
-            F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__n") == F.col("__n2")),
-        ).drop("__s2", "__n2").withColumnsRenamed({"__s": "source", "__n": "size"})
-
-    dealt = with_plan(narrow).withColumn("__part", part).groupBy("source", "size", "__part").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = hist.select(F.col("__s").alias("source"), F.col("__n").alias("size"), "n")
+    plan = stage(counts.groupBy("source").applyInPandas(_fit_source(target_of), schema), "mix-plan")
+    # lengths with many documents are ranked in parts, by the hash: whole parts first, then within one part
+    parts = F.ceil(F.col("n") / ROWS_PER_TASK).cast("long")
+    lengths = small(plan.select(F.col("source").alias("__s2"), F.col("size").alias("__n2"), F.struct("whole", "extra", "source_size", "target").alias("__plan"), parts.alias("__parts")))
+
+    def with_plan(rows: DataFrame, source: str, size: str) -> DataFrame:
+        found = rows.join(lengths, F.col(source).eqNullSafe(F.col("__s2")) & (F.col(size) == F.col("__n2"))).drop("__s2", "__n2")
+        return found.withColumn("__part", F.pmod(F.shiftrightunsigned("__rank", 1), F.col("__parts")).cast("int"))
+
+    dealt = with_plan(narrow, "__s", "__n").groupBy("__s", "__n", "__part").agg(F.count("*").alias("m"), F.first("__plan.extra").alias("extra"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("__s", "__n").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)).cast("long")
-    quotas = stage(dealt.select(F.col("source").alias("__s2"), F.col("size").alias("__n2"), F.col("__part").alias("__p2"), quota.alias("__quota")), "mix-quotas")
-    rows = with_plan(sized).withColumn("__part", part)
-    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("__s2")) & (F.col("size") == F.col("__n2")) & (F.col("__part") == F.col("__p2")))
-    nth = F.row_number().over(Window.partitionBy("source", "size", "__part").orderBy("__rank", "doc_id"))
-    times = (F.col("whole") + (nth <= F.col("__quota")).cast("int")).cast("int")
-    out = rows.withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0)))
-    return out.select(*[c for c in docs.columns if c not in mine], *mine)
+    quotas = stage(dealt.select(F.col("__s").alias("__s2"), F.col("__n").alias("__n2"), F.col("__part").alias("__p2"), "m", quota.alias("__quota")), "mix-quotas")
+    rows = with_plan(sized, "source", "__size").join(
+        small(quotas), F.col("source").eqNullSafe(F.col("__s2")) & (F.col("__size") == F.col("__n2")) & (F.col("__part") == F.col("__p2"))
+    )
+    # only parts that are taken in part need an order: of the others all rows are taken, or none
+    open_part = (F.col("__quota") > 0) & (F.col("__quota") < F.col("m"))
+    nth = F.row_number().over(Window.partitionBy("source", "__size", "__part").orderBy("__rank", "doc_id"))
+    ranked = rows.where(open_part).withColumn("__extra", (nth <= F.col("__quota")).cast("int"))
+    out = rows.where(~open_part).withColumn("__extra", (F.col("__quota") > 0).cast("int")).unionByName(ranked)
+    times = F.when(F.col("__size") > 0, F.col("__plan.whole") + F.col("__extra")).otherwise(F.lit(0)).cast("int")
+    facts = {"size": F.col("__size"), "source_size": F.col("__plan.source_size"), "target": F.col("__plan.target"), "times": times}
+    return unpacked(out.withColumns(facts), docs.columns, needed, mine)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

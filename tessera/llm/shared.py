@@ -62,6 +62,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
 
 
+def packed(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """df as the columns needed (those it has) and one struct of all others, so that no name of theirs is in the way."""
+    others = [c for c in df.columns if c not in needed]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    return df.select(*[c for c in needed if c in df.columns], rest.alias("__rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], needed: tuple[str, ...], mine: tuple[str, ...] = ()) -> DataFrame:
+    """The caller's columns of packed(..., needed), in their order, then mine, which replace columns of these names."""
+    own = [F.col(c) if c in needed else F.col("__rest").getField(c).alias(c) for c in columns if c not in mine]
+    return df.select(*own, *mine)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

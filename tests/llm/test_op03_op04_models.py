@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -103,31 +104,77 @@ def test_language_query(spark, sf_dir):
     assert sum(r["lang"] == r["lang_pred"] for r in apart) / len(apart) > 0.98
 
 
-def test_lm_scoring(make):
+def _scores(docs):
+    """n_tokens, ce_target, ce_background, ce_corpus and score of each (text, in_target), from counts of the other rows."""
+    tokens = [[w.lower() for w in re.findall(r"\w+", t or "")] for t, _ in docs]
+    tokens = [w + ["\n"] if w else [] for w in tokens]
+    vocabulary = {w for own in tokens for w in own}
+    sizes = [sum(len(w) for w, (_, x) in zip(tokens, docs, strict=True) if bool(x) is side) for side in (True, False)]
+    scale = sizes[0] / sizes[1]
+    out = []
+    for i, own in enumerate(tokens):
+        ces = []
+        for sides, worth in (((True,), 1.0), ((False,), scale), ((True, False), 1.0)):
+            single, double = Counter(), Counter()
+            for j, other in enumerate(tokens):
+                if j != i and bool(docs[j][1]) in sides:
+                    single.update(other)
+                    double.update(zip(["\n", *other[:-1]], other, strict=True)) if other else None
+            total = 0.0
+            for v, w in zip(["\n", *own[:-1]], own, strict=True) if own else ():
+                alone = (worth * single[w] + lm.ADDED) / (worth * sum(single.values()) + lm.ADDED * len(vocabulary))
+                weight = lm.WEIGHT * worth * single[v] / (worth * single[v] + lm.HALF)
+                total -= math.log(weight * double[v, w] / max(single[v], 1) + (1 - weight) * alone)
+            ces.append(total / max(len(own), 1))
+        out.append((len(own), *ces, ces[0] - ces[1]))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(4 << 20, 16 << 20), (300, 400)])
+def test_lm_scores_equal_brute_force(make, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(lm, "WORD_CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
+    rng = random.Random(14)
+    pool = [f"w{k}" for k in range(40)]
+    docs = [(" ".join(rng.choice(pool[: 20 if k % 3 else 40]) for _ in range(rng.randint(0, 25))), k % 3 == 0) for k in range(60)]
+    docs += [(None, True), ("", False), ("...", None), (docs[3][0], True), (docs[4][0], None), ("Ünï w1_2 w1", None)]
+    frame = make(*[(k if k % 7 else None, t) for k, (t, _) in enumerate(docs)])
+    flags = {k: x for k, (_, x) in enumerate(docs)}
+    marked = frame.select("*", F.lit("clash").alias("chunk"), F.lit("clash").alias("score"))
+    by_text = F.create_map(*[F.lit(v) for t, x in docs if x and t for v in (t, True)])
+    rows = lm.score_against_target(marked.withColumn("in_target", by_text[F.coalesce("text", F.lit("none"))])).collect()
+    target = {t for t, x in docs if x and t}
+    want = sorted(_scores([(t, t in target) for t, _ in docs]))
+    got = sorted(tuple(r)[1:] for r in rows)
+    assert len(got) == len(want) == len(flags) and sum(r["doc_id"] is None for r in rows) == len([k for k in flags if k % 7 == 0])
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y, rel=1e-9, abs=1e-9)
+
+
+def test_lm_scoring_edges(make):
     docs = _languages(make).withColumn("in_target", F.col("lang") == "aa")
-    model = lm.fit_models(docs)
-    odd = make((1, "bala mano"), (2, "wrxt pqst"), (3, None), (4, "..."), (5, "bala mano"), (6, "bala " * 50_000))
-    rows = {r["doc_id"]: r for r in lm.score(odd, model).collect()}
-    assert rows[1]["score"] < 0 < rows[2]["score"] and rows[1]["score"] == rows[5]["score"]
-    assert rows[3]["n_tokens"] == rows[4]["n_tokens"] == 0 and rows[3]["score"] == 0
-    assert rows[1]["n_tokens"] == 10 and rows[1]["score"] == pytest.approx(rows[1]["ce_target"] - rows[1]["ce_background"])
-    assert lm.score(odd.where("false"), model).count() == 0
-    assert lm.fit_models(docs.where("false")) is None and lm.score(odd, None).count() == 6
-
-
-def test_joined_models_score_alike(make, monkeypatch):
-    odd = make((900, None), (901, ""), (902, "bala mano"), (902, "bala mano"), (903, "naïve_1 x"))
-    docs = _languages(make).unionByName(odd).withColumn("in_target", F.col("lang") == "aa")
-    sent = sorted(tuple(r) for r in lm.score_against_target(docs).collect())
-    monkeypatch.setattr(lm, "MOST_GRAMS", 0)
-    joined = sorted(tuple(r) for r in lm.score_against_target(docs).collect())
-    assert len(sent) == len(joined) == 65
-    for a, b in zip(sent, joined, strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-4, abs=1e-6)
-
-
-def test_lm_query(spark, sf_dir):
+    long = make((900, "bala " * 60_000), (901, "x" * 100_000)).withColumn("in_target", F.lit(None).cast("boolean"))
+    rows = {r["doc_id"]: r for r in lm.score_against_target(docs.unionByName(long)).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all((r["score"] < 0) == (lang[i] == "aa") for i, r in rows.items() if i < 900 and lang[i]) and rows[900]["n_tokens"] == 60_001
+    assert lm.score_against_target(docs.where("false")).count() == 0
+    alone = lm.score_against_target(make((1, "one two")).withColumn("in_target", F.lit(True))).first()
+    assert alone["n_tokens"] == 3 and math.isfinite(alone["score"])
+
+
+def test_copies_are_known_to_the_corpus(make):
+    rng = random.Random(3)
+    pool = [f"w{k}" for k in range(3_000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(80)) for _ in range(200)]
+    docs = make(*enumerate(texts + texts[:20])).withColumn("in_target", F.col("doc_id") % 2 == 0)
+    ce = {r["doc_id"]: r["ce_corpus"] for r in lm.score_against_target(docs).collect()}
+    twice = [v for i, v in ce.items() if i < 20 or i >= 200]
+    assert max(twice) < min(v for i, v in ce.items() if 20 <= i < 200)
+
+
+def test_lm_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
     rows = lm.op4_lm_scoring(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     means = {r["quality"]: r["m"] for r in rows.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
-    assert means[1] < means[0] and rows.count() == 200
+    assert means[1] < means[0] and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
