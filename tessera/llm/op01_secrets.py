@@ -34,7 +34,7 @@ _PAIRS = (_NAME + _SIGN + r"([^\s\"'=:,;](?:[^\s\"',;&]|&(?![\p{L}_][\p{L}\p{N}_
 _HARMLESS = r"(?i)(commit|sha|md5|checksum|digest|hash|revision|uuid|guid|\bid\b|version|build|etag|file|mail|phone|card|isbn)"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0"
 _BIGRAMS = (len(_ALPHABET) + 1) ** 2
-FEATURES = ["length", "digits", "upper", "lower", "marks", "transitions", "distinct", "bigram", "coverage", "key_near", "harmless_near", "assigned", "quoted", "test_path", "hex", "dotted", "at"]
+FEATURES = ["length", "digits", "upper", "lower", "marks", "transitions", "distinct", "bigram", "coverage", "key_near", "harmless_near", "key_after", "harmless_after", "assigned", "quoted", "test_path", "hex", "dotted", "at"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -107,6 +107,7 @@ def featured(found: DataFrame, words: DataFrame, logs: list[float]) -> DataFrame
         "bigram": F.coalesce(F.aggregate(logs_of, F.lit(0.0), lambda a, x: a + x) / F.greatest(length - 1, F.lit(1)), F.lit(0.0)),
         "coverage": F.coalesce(F.col("covered") / length, F.lit(0.0)),
         "key_near": number(context.rlike(_KEY)), "harmless_near": number(context.rlike(_HARMLESS)),
+        "key_after": number(F.col("after1").rlike(_KEY)), "harmless_after": number(F.col("after1").rlike(_HARMLESS)),
         "assigned": number((F.col("key") != "") | F.col("before1").rlike(r"[=:]$")), "quoted": number(F.col("quoted")),
         "test_path": number(F.col("path").rlike(r"(?i)(test|example|sample|fixture|doc|mock)")),
         "hex": number(F.col("value").rlike(r"^(?i)[0-9a-f]+$")), "dotted": number(F.col("value").rlike(r"^[\d.:T+-]+$")), "at": number(F.col("value").contains("@")),
@@ -124,8 +125,10 @@ def train(labelled: DataFrame, words: DataFrame, logs: list[float]) -> RandomFor
 def scan(docs: DataFrame, labelled: DataFrame, kept: float = KEPT) -> DataFrame:
     """doc_id, position, value_sha256, length, key, probability: the findings of docs that the forest keeps.
 
-    docs: doc_id, text, path; labelled: see train(). Words are split at white space, position counts them from 0. Null
-    and empty texts have no findings, a null path is an unknown one, null ids are kept, and repeated rows give repeated findings.
+    docs: doc_id, text, path; other columns are not looked at. labelled: see train(). Words are split at white space,
+    position counts them from 0. Texts of any length are read whole; null and empty texts have no findings, a null path
+    is an unknown one, null ids are kept, and repeated rows give repeated findings. A probability of just kept is kept;
+    an empty table gives no rows.
     """
     words = dictionary(docs)
     logs = bigram_logs(words)
@@ -176,8 +179,10 @@ def made_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     ]
     kind = F.pmod("id", F.lit(len(kinds)))
     chosen = lambda k: F.coalesce(*[F.when(kind == i, F.lit(x[k]) if isinstance(x[k], (bool, int)) else x[k]) for i, x in enumerate(kinds)])
+    # what follows a value: mostly plain words, with secrets now and then another key, with look-alikes what they are
+    after = F.when(F.pmod(F.xxhash64("id", F.lit("f")), F.lit(4)) > 0, calm).when(chosen(5) == 1, pick("f1", "token", "password", "key", "expires")).otherwise(pick("f2", "commit", "uuid", "version", "file"))
     path = F.when(chosen(5) == 1, pick("z", "src", "config/app.yml", "deploy", "tests/data")).otherwise(pick("z", "src", "docs/guide", "tests/unit", "lib"))
-    return spark.range(n).select(chosen(0).alias("value"), chosen(1).alias("key"), chosen(2).alias("before2"), chosen(3).alias("before1"), calm.alias("after1"), chosen(4).alias("quoted"), path.alias("path"), chosen(5).alias("secret"))
+    return spark.range(n).select(chosen(0).alias("value"), chosen(1).alias("key"), chosen(2).alias("before2"), chosen(3).alias("before1"), after.alias("after1"), chosen(4).alias("quoted"), path.alias("path"), chosen(5).alias("secret"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

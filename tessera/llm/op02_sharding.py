@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read, small, stage
+from tessera.llm.shared import packed, read, small, stage, unpacked
 
 SHARDS = 40
 #: Probes in each bracket and round.
 PROBES = 256
 #: Wanted accuracy of a splitter, as a share of one shard's bytes.
 TOLERANCE = 0.001
+#: Rows alike in both keys that hold more than so many times the wanted accuracy are split too, by a number of each row.
+LUMP = 10
 #: Rows that one sorting task of the final numbering gets, about.
 ROWS_PER_TASK = 50_000
 LOW, HIGH = -(2**63), 2**63 - 1
@@ -55,11 +57,15 @@ def _counted(rows: DataFrame, brackets: list[tuple]) -> dict[int, list[tuple[int
     return {k: sorted(v) for k, v in out.items()}
 
 
+class Lump(Exception):
+    """Many rows that are alike in both keys hold a splitter's offset."""
+
+
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """shards - 1 keys (hi, lo), ascending: shard k takes the rows from splitter k - 1 up to before splitter k.
 
     rows: __hi long, __lo long, size long. A splitter lies within the tolerance of its byte offset, or beside the row
-    that holds the offset.
+    (or the few rows alike in both keys) that holds the offset.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     wanted = [round(total * k / shards) for k in range(1, shards)]
@@ -88,7 +94,9 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
                 state[w] = (hi, key, end - 1, before)
             elif hi is None:  # one text's copies: split them by id
                 state[w] = (key, LOW, HIGH, before)
-            else:  # rows alike in both keys
+            elif after - before > LUMP * slack:
+                raise Lump
+            else:  # a few rows alike in both keys
                 done[w] = (hi, key) if w - before <= after - w else (hi, min(end, HIGH))
             if w in done:
                 del state[w]
@@ -108,20 +116,25 @@ def _shard_of(keys: list[tuple[int, int]], offset: int = 0) -> Column:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with size long, shard int and slot long (0, 1, ... in each shard).
 
-    Law: bytes, the shards' sums of size are near equal. Needs doc_id and text; other columns, whatever their names,
-    are kept, except that columns named size, shard or slot are replaced. A null text is as good as an empty one (size
-    16), a null doc_id sorts first, and rows alike in text and doc_id stay together. An empty table gives no rows.
-    Rows alike in both keys are one indivisible lump. One exchange moves the rows: to tasks of about ROWS_PER_TASK rows within a shard.
+    Law: bytes, the shards' sums of size are near equal. Needs doc_id and text; other columns are kept, whatever their
+    names, but that columns named size, shard or slot are replaced. A null text is as good as an empty one (size 16), a
+    null doc_id sorts first, and a text of any length is one row of one shard. Many rows alike in text and doc_id are
+    split between shards like others. An empty table gives no rows. One exchange moves the rows: to tasks of about
+    ROWS_PER_TASK rows within a shard.
     """
-    keyed = docs.withColumns({
-        "size": size_of(), "__hi": F.xxhash64(F.coalesce("text", F.lit(""))),
-        "__lo": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")),
-    })
+    needed, mine = ("doc_id", "text"), ("size", "shard", "slot")
+    by_text = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = packed(docs, needed).withColumns({"size": size_of(), "__hi": by_text, "__lo": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long"))})
     narrow = stage(keyed.select("__hi", "__lo", "size"), "shard-keys")
-    keys = splitters(narrow, shards, tolerance)
+    try:
+        keys = splitters(narrow, shards, tolerance)
+    except Lump:  # written once, so that each row keeps its number
+        keyed = stage(keyed.withColumn("__lo", F.monotonically_increasing_id()), "shard-rows")
+        narrow = stage(keyed.select("__hi", "__lo", "size"), "shard-keys")
+        keys = splitters(narrow, shards, tolerance)
     subs = max(1, -(-narrow.count() // (shards * ROWS_PER_TASK)))
     place = {"shard": _shard_of(keys), "__sub": F.pmod(F.xxhash64("__lo", "__hi"), F.lit(subs)).cast("int")}
-    placed = keyed.drop("shard", "slot").withColumns(place)
+    placed = keyed.withColumns(place)
     if subs == 1:
         placed = placed.withColumn("__start", F.lit(0))
     else:  # a task numbers its own rows, from the exact count of the tasks before it in the shard
@@ -131,7 +144,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
         placed = placed.join(small(stage(starts, "shard-starts")), ["shard", "__sub"])
     order = Window.partitionBy("shard", "__sub").orderBy("__hi", "__lo")
     slot = (F.col("__start") + F.row_number().over(order) - 1).cast("long")
-    return placed.withColumn("slot", slot).drop("__hi", "__lo", "__sub", "__start")
+    return unpacked(placed.withColumn("slot", slot), docs.columns, needed, mine)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from tessera.llm.textarrays import NOT_LETTERS, WORD_CHUNK_BYTES, Tokens, chunks
 #: Learning documents of a language that the models are fitted on, about; every CALIBRATE-th of them only sets thresholds.
 PER_LANGUAGE, CALIBRATE = 2_000, 5
 REJECT = 0.995
+#: Documents from which a language has some that set its threshold.
+LEAST = 50
 #: The confidence is the posterior that this many characters of the text give, at most, so that long texts don't all get 1.
 CHARACTERS = 40
 
@@ -43,7 +45,8 @@ class Identifier:
 
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier | None:
-    """labelled: doc_id, text, lang. Languages that are null teach nothing; None if there is no language at all.
+    """labelled: doc_id, text, lang. Languages that are null teach nothing; None if there is no language at all. Every
+    language with a word in its documents is learned, however few they are.
 
     The models are fitted on about per_language documents of each language, chosen by a hash of the id.
     """
@@ -54,7 +57,10 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier |
         return None
     spot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     limit = F.coalesce(*[F.when(F.col("lang") == c, F.lit(int(min(1.0, per_language / n) * 1_000_000))) for c, n in sizes.items()])
-    sample = rows.where(spot < limit).select("text", F.col("lang").alias("class"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATE)) == 0).alias("apart"))
+    # a language with few documents is learned from all of them, and rejects nothing
+    enough = F.col("lang").isin([c for c, n in sizes.items() if n >= LEAST])
+    apart = enough & (F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(CALIBRATE)) == 0)
+    sample = rows.where(spot < limit).select("text", F.col("lang").alias("class"), apart.alias("apart"))
     counts = count_grams(sample.where("not apart"), NOT_LETTERS)
     seen = sorted(r["class"] for r in counts.select("class").distinct().collect())
     if not seen:
@@ -77,7 +83,8 @@ def identify(docs: DataFrame, known: Identifier | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, rejected: one row for each row of docs (doc_id, text).
 
     und with score 0 for a text that is null or has no letter, or if nothing was learned. lang_pred is the nearest
-    language even if rejected. Repeated rows and ids give repeated rows; ties go to the first language by name.
+    language even if rejected. A text of any length is scored whole. Repeated rows and ids, null ones too, give repeated
+    rows; ties go to the first language by name. Other columns are not looked at; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 

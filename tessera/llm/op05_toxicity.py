@@ -24,6 +24,8 @@ from tessera.llm.textarrays import NOT_LETTERS, Tokens, chunks, code_points, wor
 PER_CLASS, CALIBRATE = 6_000, 5
 #: Letters of the levels (None: the word), pseudo-documents of each prior, what is taken off the log-odds.
 LEVELS, PRIOR, DRIFT = (4, 5, 6, 7, None), 6.0, 1.0
+#: Sampled documents that have a feature, at least: rarer ones say nothing, and their words have the odds of the level above.
+FEWEST = 3
 #: Segments count that are expected at most so often by chance in a text.
 EXPECTED = 0.05
 #: A document with this score or more is predicted toxic.
@@ -143,7 +145,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """labelled: doc_id, text, toxic (0, 1). Null texts or labels teach nothing, equal texts count once for each label."""
+    """labelled: doc_id, text, toxic (0, 1). Null texts or labels teach nothing, equal texts count once for each label.
+
+    The model, and the scores of the segments of the documents that calibrate, are as large as the sample allows.
+    """
     spark = labelled.sparkSession
     rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
     sizes = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -152,7 +157,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     limit = F.when(F.col("toxic"), F.lit(int(shares.get(True, 0) * 1_000_000))).otherwise(F.lit(int(shares.get(False, 0) * 1_000_000)))
     sample = rows.where(spot < limit).withColumn("apart", F.pmod(of_text, F.lit(CALIBRATE)) == 0)  # copies stay on one side
     counts = sample.where("not apart").dropDuplicates(["text", "toxic"]).select("text", "toxic").mapInArrow(_count, "level int, key long, yes long, no long")
-    held = counts.groupBy("level", "key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("yes + no >= 3").toArrow()
+    held = counts.groupBy("level", "key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where(F.col("yes") + F.col("no") >= FEWEST).toArrow()
     level, keys, yes, no = (held[c].to_numpy() for c in ("level", "key", "yes", "no"))
     # rates of the two classes are compared, so the sizes of the samples cancel out
     ratio = max(1.0, shares.get(True, 0) * sizes.get(True, 0)) / max(1.0, shares.get(False, 0) * sizes.get(False, 0))
@@ -219,8 +224,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score double (0 to 1), predicted int and passages, for every row.
 
     passages: first and end token (words of letters), score, expected number by chance, and the words in lower case, of
-    every significant segment. A null or empty text has none, and the score of a text without evidence. Repeated rows
-    give repeated rows; columns of docs named as the three are replaced.
+    every significant segment. A null or empty text has none, and the score of a text without evidence; a text of any
+    length is scanned whole. Repeated rows and ids, null ones too, give repeated rows; columns of docs named as the three
+    are replaced, others are kept; an empty table gives no rows.
     """
     mine = ("score", "predicted", "passages")
     kept = [c for c in docs.columns if c not in mine]
@@ -233,7 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for table in chunks(batches):
             tokens = Tokens(table["text"], NOT_LETTERS)
             by_word = model.token_scores(tokens.vocab)
-            hot = np.add.reduceat((by_word[tokens.ids] > 0).astype(int), np.minimum(tokens.offsets[:-1], max(0, len(tokens.ids) - 1))) if len(tokens.ids) else np.zeros(table.num_rows)
+            hot = tokens.sums(by_word > 0)
             scores, passages = [], []
             for i in range(table.num_rows):
                 a, b = int(tokens.offsets[i]), int(tokens.offsets[i + 1])
@@ -249,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
-    """Fitted on the labelled documents of docs that are not held out."""
+    """Fitted on the labelled documents of docs that are not held out; of several labels of an id the highest counts."""
     labels = read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return fit(docs.where(~held_out()).select("doc_id", "text").join(small(labels), "doc_id"))
 

@@ -78,8 +78,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED
     """doc_id, item_id, n_shingles, shared, containment of every document that holds threshold of an item's shingles.
 
     docs: doc_id, text; items: item_id, text; other columns are not looked at. Shingles are runs of five words; an item
-    of fewer words is one run of all its words, an item without words is in no document. Null texts hold nothing, null
-    ids are ids, and repeated rows are reported once. Empty tables give no rows.
+    of fewer words is one run of all its words, an item without words is in no document. Texts of any length are compared
+    whole. Null texts hold nothing, null ids are ids, and repeated rows are reported once; of several texts of an id the
+    pair with the highest containment is reported, of equal ones that with the most shingles. Empty tables give no rows.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     sized = items.withColumn("__n", F.size(words_of())).where("__n > 0").dropDuplicates(["item_id", "text"])
@@ -126,8 +127,8 @@ def _verify(docs: DataFrame, items: DataFrame, pairs: DataFrame, width: int, thr
     shared = F.size(F.array_intersect("__s", "__t"))
     counted = joined.select("doc_id", "item_id", F.size("__t").alias("n_shingles"), shared.alias("shared"))
     scored = counted.withColumn("containment", F.col("shared") / F.col("n_shingles")).where(F.col("containment") >= threshold)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_shingles", "shared", "containment"), "containment").alias("b"))
-    return best.select("doc_id", "item_id", "b.*")
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shingles", "shared")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_shingles", "b.shared", "b.containment")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
