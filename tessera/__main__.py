@@ -47,7 +47,10 @@ def main(arguments: list[str] | None = None) -> int:
             log.error("%s: %s", row["path"], row["error"])
         return 0
     if given.command == "build":
-        counts = index.build(spark, files.scan(spark, given.source), Store(spark, given.store), _text(given.ignore))
+        store = Store(spark, given.store)
+        counts = index.build(spark, files.scan(spark, given.source), store, _text(given.ignore))
+        for row in store.report().where("error is not null").toLocalIterator():
+            log.error("%s: %s", row["path"], row["error"])
         log.info("%s", ", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing")
         return 0
     if given.command == "search":

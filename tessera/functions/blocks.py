@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +23,7 @@ def structural(text: str) -> list[dict]:
     lines = text.split("\n")
     head = re.compile(r"^(#{1,6}\s|(export\s+|public\s+|private\s+|static\s+|async\s+)*(class|def|func|function|fn|interface|enum|struct|trait|impl|module|package|create\s+table)\b)", re.IGNORECASE)
     starts = [i for i, line in enumerate(lines) if i == 0 or head.match(line) or (not lines[i - 1].strip() and line.strip())]
-    while len(starts) > MOST_BLOCKS:  # the smallest neighbours are merged
-        k = min(range(1, len(starts)), key=lambda i: (starts[i + 1] if i + 1 < len(starts) else len(lines)) - starts[i - 1])
-        del starts[k]
+    starts = _merged(starts, len(lines), MOST_BLOCKS)
     out = []
     for start, end in zip(starts, [*starts[1:], len(lines)], strict=True):
         block = "\n".join(lines[start:end])
@@ -34,6 +34,29 @@ def structural(text: str) -> list[dict]:
     return out
 
 
+def _merged(starts: list[int], end: int, most: int) -> list[int]:
+    """starts without those whose block makes the smallest one with the block before, until most are left; ties to the first."""
+    n = len(starts)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    edge = lambda i: starts[i] if i < n else end
+    size = lambda i: edge(after[i]) - starts[before[i]]
+    heap, kept = [(size(i), i) for i in range(1, n)], [True] * n
+    heapq.heapify(heap)
+    left = n
+    while left > most:
+        width, i = heapq.heappop(heap)
+        if not kept[i] or width != size(i):  # an older entry
+            continue
+        kept[i], left = False, left - 1
+        after[before[i]] = after[i]
+        if after[i] < n:
+            before[after[i]] = before[i]
+            heapq.heappush(heap, (size(after[i]), after[i]))
+        if before[i] > 0:
+            heapq.heappush(heap, (size(before[i]), before[i]))
+    return [s for s, k in zip(starts, kept, strict=True) if k]
+
+
 def checked(found: list[dict]) -> list[dict]:
     """A splitter's blocks if they keep the contract, else ValueError."""
     if not isinstance(found, list) or not 1 <= len(found) <= MOST_BLOCKS:
@@ -56,6 +79,24 @@ def split_with(splitter=structural):
     return blocks
 
 
+def split_apart(splitter=structural):
+    """Column function: text -> (blocks, seconds, error). A splitter that fails for one file is that file's error only."""
+
+    @pandas_udf(f"blocks array<{_BLOCK}>, seconds double, error string")
+    def split(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            started, found, error = time.perf_counter(), None, None
+            try:
+                found = checked(splitter(t)) if t is not None else []
+            except Exception as e:  # noqa: BLE001  any reason is the file's own
+                error = f"{type(e).__name__}: {e}"
+            rows.append((found, time.perf_counter() - started, error))
+        return pd.DataFrame(rows, columns=["blocks", "seconds", "error"])
+
+    return split
+
+
 def _ordered(blocks: Column) -> Column:
     """By start and end; equal ranges keep their order."""
     placed = F.transform(blocks, lambda b, i: F.struct(b["start_line"].alias("start_line"), b["end_line"].alias("end_line"), i.alias("place"), b["title"].alias("title"), b["kind"].alias("kind"), b["symbols"].alias("symbols")))

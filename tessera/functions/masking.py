@@ -64,6 +64,9 @@ RULES = (
 # End of the fixed values.
 
 STRICT = (Rule("attribute_spaced", rf"""(?i)\b({KEYS}\s*=\s+)(["'])[^"'{{}}]{{1,256}}\2""", f"$1$2{_MASK}$2"),)
+#: For engines without lookaround: the strict rule for double quotes, and what the other rules need in a text.
+STRICT_SQL = rf'(?i)\b({KEYS}\s*=\s+)(")[^"{{}}]{{1,256}}"'
+OTHERS_SQL = r"-----BEGIN|AKIA|(?i)glpat-|hvs\.|eyJ|authorization:|://[^\s]*@|role_id|-u\s|SAMPLE_|(?:pass|pwd|secret|token|key)\w*\s*[:=]\s*[^\s\"]"
 #: What a text needs for any rule to match: rows without it skip the chain.
 _GATE = r"(?i)-----BEGIN|AKIA|glpat-|hvs\.|\bs\.[a-z0-9]{20}|eyJ|authorization:|x[-_](?:api|jfrog|vault)|pass|pwd|secret|token|key|://[^\s]*@|role_id|-u\s|-data\s*:|\"auth\"|SAMPLE_"
 #: Only \n ends a line, and character classes know Unicode.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import exists
+
 #: Cost of a written and a read cache token, in input tokens; rounds of tools and pages that are looked at.
 WRITE, READ, ROUNDS, PAGES = 1.25, 0.1, 12, 3
 COUNTERS = ("input", "cache_write", "cache_read", "output")
@@ -48,3 +50,14 @@ def last_pages(pages_: DataFrame, n: int = PAGES) -> DataFrame:
     text = lambda k: F.coalesce(F.max(F.when(F.col("__r") == k, F.col("text"))), F.lit(""))
     wide = recent.groupBy("conv_id").agg(*[text(k).alias(f"page{k}") for k in range(1, n + 1)])
     return wide.withColumns({f"chars{k}": F.length(f"page{k}").cast("long") for k in range(1, n + 1)})
+
+
+def append_pages(spark: SparkSession, path: str, messages: DataFrame) -> None:
+    """Append the pages of messages (see pages()) to the table at path; numbers go on after each conversation's last page."""
+    fresh = pages(messages)
+    schema = "conv_id long, page_no int, text string"
+    known = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    last = known.groupBy(F.col("conv_id").alias("__c")).agg(F.max("page_no").alias("__last"))
+    numbered = fresh.withColumn("__n", F.row_number().over(Window.partitionBy("conv_id").orderBy("page_no")))
+    placed = numbered.join(last, F.col("conv_id") == F.col("__c"), "left").select("conv_id", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("int").alias("page_no"), "text")
+    placed.write.mode("append").parquet(path)

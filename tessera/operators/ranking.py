@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import term_counts
+from tessera.sources.staging import staged
 
 K1, B = 1.2, 0.75
+#: Folders of a stored index.
+FOLDERS = 64
 #: Weight of each analysed view of the text.
 BOOSTS = {"code": 1.0, "ru": 1.3, "en": 1.2}
 SYMBOL_BOOST = 1.0
@@ -37,27 +40,75 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _scored(hits: DataFrame, df: DataFrame, n: Column, average: Column, key: str) -> DataFrame:
+    """(key, score) of hits (key, term, tf, dl), with df (term, df) of the question's terms."""
+    # one row for a query term
+    rows = hits.join(F.broadcast(df), "term")
+    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+    # rounded, as the order of the sum differs between runs and would break ties at random
+    return rows.groupBy(key).agg(F.round(F.sum(idf(n, F.col("df")) * tf), 9).alias("score"))
+
+
 def bm25(posted: DataFrame, terms: list[str], documents: int | None = None, key: str = "doc_id", within: DataFrame | None = None) -> DataFrame:
-    """(key, score) of the documents with any of the terms.
+    """(key, score) of the documents with any of the terms, of a corpus that is asked once (else see StoredIndex).
 
     posted: postings of the whole corpus. Statistics are the whole corpus's, also when within (keys) filters the result:
     the filter is applied before the scores are summed. documents: size of the corpus if some have no terms at all.
-    The terms' postings are the only rows that are joined; lengths come from the same scan.
+    The postings are aggregated once, to one row for a document with its length and its counts of the terms.
     """
-    lengths = document_lengths(posted, key)
-    facts = lengths.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avg"))
+    asked = F.array(*map(F.lit, sorted(set(terms)))) if terms else F.array().cast("array<string>")
+    counts = F.collect_list(F.when(F.array_contains(asked, F.col("term")), F.struct("term", "tf")))  # nulls are left out
+    per = posted.groupBy(key).agg(F.sum("tf").cast("long").alias("dl"), counts.alias("__t"))
+    # one row: size, length, and each term's documents
+    with_term = lambda term: F.count_if(F.exists("__t", lambda s: s["term"] == term))
+    held = F.create_map(*[x for t in sorted(set(terms)) for x in (F.lit(t), with_term(t))]) if terms else F.create_map().cast("map<string,bigint>")
+    facts = per.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avg"), held.alias("__df"))
     if documents is not None:
-        facts = facts.select(F.lit(documents).alias("__n"), (F.col("__avg") * F.col("__n") / documents).alias("__avg"))
-    hits = posted.where(F.col("term").isin(terms))
-    # one row for a query term, one for the corpus: the sizes are those of the question
-    df = hits.groupBy("term").agg(F.count("*").alias("__df"))
-    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(facts))
+        facts = facts.withColumns({"__avg": F.col("__avg") * F.col("__n") / documents, "__n": F.lit(documents)})
     if within is not None:
-        rows = rows.join(within, key, "left_semi")
-    rows = rows.join(lengths, key)
-    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))
-    # rounded, as the order of the sum differs between runs and would break ties at random
-    return rows.groupBy(key).agg(F.round(F.sum(idf(F.col("__n"), F.col("__df")) * tf), 9).alias("score"))
+        per = per.join(within, key, "left_semi")
+    rows = per.where(F.size("__t") > 0).crossJoin(F.broadcast(facts))
+    tf = lambda x: x["tf"] / (x["tf"] + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))
+    part = lambda x: idf(F.col("__n"), F.try_element_at("__df", x["term"])) * tf(x)
+    return rows.select(key, F.round(F.aggregate(F.array_sort("__t"), F.lit(0.0), lambda s, x: s + part(x)), 9).alias("score"))
+
+
+class StoredIndex:
+    """An inverted index on disk: postings with their documents' lengths, in folders by a hash of the term, and statistics.
+
+    A question reads the folders of its terms, and in them, as rows are sorted by term, the row groups that can hold them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def build(docs: DataFrame, analyser: str, path: str, key: str = "doc_id", text: str = "text", folders: int = FOLDERS) -> StoredIndex:
+        index = StoredIndex(docs.sparkSession, path)
+        posted = staged(postings(docs, analyser, key, text))
+        lengths = document_lengths(posted, key)
+        placed = posted.join(lengths, key).select("term", key, "tf", "dl", _folder(F.col("term"), folders).alias("folder"))
+        placed.repartition("folder", F.pmod(F.hash(key), F.lit(8))).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{index.path}/postings")
+        stats = posted.groupBy("term").agg(F.count("*").alias("df")).withColumn("folder", _folder(F.col("term"), folders))
+        stats.repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{index.path}/terms")
+        facts = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"), F.lit(folders).alias("folders"), F.first(F.lit(key)).alias("key"))
+        facts.coalesce(1).write.parquet(f"{index.path}/facts")
+        return index
+
+    def bm25(self, terms: list[str], within: DataFrame | None = None) -> DataFrame:
+        """As bm25()."""
+        facts = self.spark.read.parquet(f"{self.path}/facts").first()
+        key, wanted = facts["key"] or "doc_id", sorted(set(terms))
+        folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(_folder(F.col("term"), facts["folders"])).collect()]
+        of_terms = lambda name: self.spark.read.parquet(f"{self.path}/{name}").where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
+        hits = of_terms("postings")
+        if within is not None:
+            hits = hits.join(within, key, "left_semi")
+        return _scored(hits, of_terms("terms").select("term", "df"), F.lit(facts["n"]), F.lit(facts["average"]), key)
+
+
+def _folder(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
 def best_field(scored: dict[str, DataFrame], boosts: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:

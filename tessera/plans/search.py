@@ -15,12 +15,12 @@ RESULT_FIELDS = ("text", "path", "start_line", "end_line", "title", "symbols", "
 
 def search(
     chunks: DataFrame, question: str, path_prefix: str = "", top_n: int = 10, symbols: list[str] | None = None, use_reranker: bool = True,
-    model=hashed_embedding, scorer=fusion.overlap, postings: dict[str, DataFrame] | None = None,
+    model=hashed_embedding, scorer=fusion.overlap, postings: dict[str, DataFrame | ranking.StoredIndex] | None = None,
 ) -> DataFrame:
     """The top_n chunks for a question, with rank.
 
-    The path filter comes before both retrievals, but BM25 statistics are the whole corpus's. postings: stored postings
-    by analyser (key id), else they are computed from chunks. Text and the other fields join in after the fusion.
+    The path filter comes before both retrievals, but BM25 statistics are the whole corpus's. postings: stored indexes or
+    postings by analyser (key id), else postings are computed from chunks. Text and the other fields join in after the fusion.
     """
     short = fusion.shortlist(top_n, use_reranker)
     spark, keep = chunks.sparkSession, paths.has_prefix("path", path_prefix)
@@ -30,7 +30,7 @@ def search(
         terms = ranking.query_terms(spark, question, name)
         if terms:
             posted = postings[name] if postings else ranking.postings(chunks, name, "id")
-            scored[name] = ranking.bm25(posted, terms, key="id", within=within)
+            scored[name] = posted.bm25(terms, within) if isinstance(posted, ranking.StoredIndex) else ranking.bm25(posted, terms, key="id", within=within)
     empty = spark.createDataFrame([], "id string, score double")
     text_scores = ranking.best_field(scored, key="id") if scored else empty
     if symbols:

@@ -16,6 +16,11 @@ SQL = {
     "join_full": "SELECT n.n_name AS n_name, CAST(count(s.s_suppkey) AS BIGINT) AS suppliers FROM {nation} n FULL OUTER JOIN {supplier} s ON n.n_nationkey = s.s_nationkey GROUP BY n.n_name",
     "join_left": "SELECT c.c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n, CAST(count(o.o_orderkey) AS BIGINT) AS orders FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment",
     "join_inner_agg": "SELECT r.r_name AS region, round(sum(o.o_totalprice), 2) AS total FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
+    "join_right": "SELECT n.n_name AS n_name, c.c_custkey AS c_custkey FROM {customer} c RIGHT JOIN {nation} n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000",
+    "join_cross": "SELECT r.r_name AS region, s.status AS status FROM {region} r CROSS JOIN (SELECT DISTINCT o_orderstatus AS status FROM {orders}) s",
+    "join_lateral": "SELECT n.n_name AS n_name, t.s_name AS s_name FROM {nation} n, LATERAL (SELECT max(s.s_name) AS s_name FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) t",
+    "recursive_steps": "WITH RECURSIVE steps(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM steps WHERE n < 12) SELECT n, CAST(count(o.o_orderkey) AS BIGINT) AS orders FROM steps LEFT JOIN {orders} o ON month(o.o_orderdate) = n GROUP BY n",
+    "approximate_distinct": "SELECT o_orderstatus AS status, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.2 * count(DISTINCT o_custkey) AS close FROM {orders} GROUP BY o_orderstatus",
     "join_range": "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey AND b.n_nationkey <= a.n_nationkey + 10",
     "rollup": "SELECT c_mktsegment AS segment, c_nationkey AS nation, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS balance FROM {customer} GROUP BY ROLLUP (c_mktsegment, c_nationkey)",
     "cube": "SELECT l_returnflag AS flag, l_linestatus AS status, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)",

@@ -17,6 +17,8 @@ MANIFEST = T.StructType([
     T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
 ])
 
+REPORT = T.StructType([T.StructField("path", T.StringType()), T.StructField("seconds", T.DoubleType()), T.StructField("error", T.StringType())])
+
 CHUNK = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from urllib.parse import urlparse
+from itertools import count, takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 
 TIMEOUT_S = 30
+_SETTING = re.compile(r"DB_(\d+)_(URL|USERNAME|PASSWORD|DESCRIPTION|TOOL_NAME)")
+#: Scheme (without jdbc: before it), credentials, host and port, database; parameters and fragments are not kept.
+_URL = re.compile(r"\s*(?:jdbc:)?(?:([A-Za-z][\w+.-]*)://)?(?:[^/?#]*@)?([^/?#\s]*)/*([^?#]*)")
 
 
 @dataclass(frozen=True)
@@ -21,21 +25,18 @@ class Database:
 
 def from_environment(env: Mapping[str, str]) -> dict[str, Database]:
     """Databases DB_1_*, DB_2_*, ... by tool name. The first missing URL ends the list; incomplete ones are skipped."""
-    found, k = {}, 1
-    while url := env.get(f"DB_{k}_URL"):
-        user, password, name = (env.get(f"DB_{k}_{x}") for x in ("USERNAME", "PASSWORD", "TOOL_NAME"))
-        if user and password and name:
-            found[name] = Database(url, user, password, env.get(f"DB_{k}_DESCRIPTION"))
-        k += 1
-    return found
+    numbered: dict[int, dict[str, str]] = {}
+    for name, value in env.items():
+        if value and (setting := _SETTING.fullmatch(name)):
+            numbered.setdefault(int(setting[1]), {})[setting[2]] = value
+    listed = (numbered[k] for k in takewhile(lambda k: "URL" in numbered.get(k, {}), count(1)))
+    return {d["TOOL_NAME"]: Database(d["URL"], d["USERNAME"], d["PASSWORD"], d.get("DESCRIPTION")) for d in listed if {"USERNAME", "PASSWORD", "TOOL_NAME"} <= d.keys()}
 
 
 def jdbc_url(url: str | None, name: str = "") -> str:
-    """jdbc:scheme://host:port/database without parameters; the scheme is postgresql if there is none."""
-    raw = (url or "").strip().removeprefix("jdbc:")
-    parsed = urlparse(raw if "://" in raw else f"//{raw}")
-    port = f":{parsed.port}" if parsed.port else ""
-    return f"jdbc:{parsed.scheme or 'postgresql'}://{parsed.hostname or ''}{port}/{parsed.path.lstrip('/') or name}"
+    """jdbc:scheme://host:port/database without credentials and parameters; the scheme is postgresql if there is none."""
+    scheme, host, database = _URL.match(url or "").groups()
+    return f"jdbc:{(scheme or 'postgresql').lower()}://{host.lower()}/{database.strip() or name}"
 
 
 def table(spark: SparkSession, database: Database, name_or_query: str, **split: str | int) -> DataFrame:

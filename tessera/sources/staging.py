@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,4 +23,23 @@ def staged(df: DataFrame) -> DataFrame:
     """df written once and read back: for a table that a plan reads more than once."""
     folder = work_folder(df.sparkSession)
     df.write.parquet(folder)
+    atexit.register(_remove, df.sparkSession, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _at(spark, path)
+    return system.exists(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at, system = _at(spark, path)
+        system.delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may have gone before this process ends
+        return

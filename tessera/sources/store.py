@@ -1,4 +1,4 @@
-"""Stored tables as snapshots: chunks first, then the manifest, whose file is the commit."""
+"""Stored tables as snapshots: chunks, manifest and report, then a numbered pointer, which is the commit."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessera.schema import CHUNK, MANIFEST, strict
+from tessera.schema import CHUNK, MANIFEST, REPORT, strict
 
 
 class Store:
-    """Chunk and manifest tables below root. A snapshot is a folder; CURRENT names the one in force."""
+    """Chunk, manifest and report tables below root. A snapshot is a folder; the pointer with the greatest number names the one in force."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,10 +22,21 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        """Names of the pointers, the one in force last: CURRENT, a number of fixed width, the snapshot."""
+        if not self._fs().exists(self._path("")):
+            return []
+        found = (f.getPath().getName() for f in self._fs().listStatus(self._path("")))
+        return sorted(name for name in found if name.startswith("CURRENT."))
+
     def current(self) -> str | None:
-        if not self._fs().exists(self._path("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        pointers = self._pointers()
+        return pointers[-1].split(".", 2)[2] if pointers else None
+
+    def bootstrap(self) -> None:
+        """Empty tables, unless there are some."""
+        if self.current() is None:
+            self.commit(*(self.spark.createDataFrame([], s) for s in (CHUNK, MANIFEST)))
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         """A table of the current snapshot; empty before the first."""
@@ -37,18 +48,24 @@ class Store:
     def chunks(self) -> DataFrame:
         return self.read("chunks", CHUNK)
 
+    def report(self) -> DataFrame:
+        """Seconds and error of each file of the build that made the snapshot."""
+        return self.read("report", REPORT)
+
     def manifest(self) -> DataFrame:
         return self.read("manifest", MANIFEST)
 
-    def commit(self, chunks: DataFrame, manifest: DataFrame) -> str:
-        """Write both tables (checked against their schemas), then switch to them. A failed write changes nothing."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        strict(chunks, CHUNK).write.parquet(f"{self.root}/{name}/chunks")
-        strict(manifest, MANIFEST).write.parquet(f"{self.root}/{name}/manifest")
-        fs, fresh = self._fs(), self._path(f"CURRENT-{name}")
-        out = fs.create(fresh, True)
-        out.write(name.encode())
-        out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(fresh, self._path("CURRENT"))
+    def commit(self, chunks: DataFrame, manifest: DataFrame, report: DataFrame | None = None) -> str:
+        """Write the tables (checked against their schemas), then switch to them.
+
+        A failed write changes nothing, and there is a snapshot in force at any time: the pointer is created, in one step,
+        beside the older ones. Of two writers at once the second fails, as the number is taken.
+        """
+        name, number = f"snapshot-{uuid.uuid4().hex}", len(self._pointers()) + 1
+        report = self.spark.createDataFrame([], REPORT) if report is None else report
+        for part, df, schema in (("chunks", chunks, CHUNK), ("report", report, REPORT), ("manifest", manifest, MANIFEST)):
+            strict(df, schema).write.parquet(f"{self.root}/{name}/{part}")
+        taken = self._path("numbers", f"{number:012d}")
+        self._fs().create(taken, False).close()
+        self._fs().create(self._path(f"CURRENT.{number:012d}.{name}"), False).close()
         return name

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.__main__ import main
-from tessera.functions import blocks
-from tessera.operators import ledger, lines, sync
+from tessera.functions import blocks, paths
+from tessera.operators import ledger, lines, ranking, sync
 from tessera.plans import index, sqltool
 from tessera.plans.search import search
 from tessera.sources import databases, files
@@ -107,15 +107,130 @@ def test_sql_guard(spark):
     assert sqltool.payload(spark, "SELECT id FROM three ORDER BY id", 2)["rows"] == [{"id": 0}, {"id": 1}]
     assert sqltool.payload(spark, "DROP TABLE x")["error"] == sqltool.REJECTED
     tools = sqltool.Tools()
-    tools.add_databases(spark, {"db": databases.Database("u", "a", "b", "all")})
-    assert tools.describe() == {"db": "all"} and tools.call("db", select="SELECT 1 AS x")["rows"] == [{"x": 1}]
+    tools.add_session(spark, "here", "all")
+    assert tools.describe() == {"here": "all"} and tools.call("here", select="SELECT 1 AS x")["rows"] == [{"x": 1}]
     assert "error" in tools.call("other")
+    more = ["SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect`('a', 'b')", "SELECT 1 WHERE EXISTS (SELECT try_reflect('a', 'b'))", "SELECT * FROM parquet.`/etc`", "SELECT * FROM csv.`x`", "WITH a AS (SELECT * FROM json.`/x`) SELECT * FROM a"]
+    assert [q for q in more if sqltool.is_query(spark, q)] == []
+    fine = ["SELECT * FROM range(3)", "SELECT explode(array(1))", "SELECT * FROM three a JOIN three b USING (id) WHERE a.id IN (SELECT id FROM three)", "SELECT id, sum(id) OVER (ORDER BY id) s FROM three GROUP BY id HAVING id > 0 LIMIT 3 OFFSET 1",
+            "SELECT * FROM three PIVOT (count(*) FOR id IN (1))", "SELECT * FROM three, LATERAL (SELECT three.id + 1 AS n)", "SELECT * FROM default.three", "SELECT 1 UNION SELECT 2 INTERSECT SELECT 2 EXCEPT SELECT 3"]
+    assert [q for q in fine if not sqltool.is_query(spark, q)] == []
+
+
+def test_payload_is_whole_and_bounded_in_time(spark):
+    spark.range(2_500).createOrReplaceTempView("many")
+    assert len(sqltool.payload(spark, "SELECT id FROM many")["rows"]) == 2_500
+    cut = sqltool.payload(spark, "SELECT id FROM many", 10)
+    assert len(cut["rows"]) == 10 and cut["truncated"] and "truncated" not in sqltool.payload(spark, "SELECT 1 AS x", 1)
+    slow = sqltool.payload(spark, "SELECT sum(id % 7) AS n FROM range(4000000000)", timeout=0.2)
+    assert slow["error"] == "no result within 0.2 s" and slow["rows"] == []
+    assert sqltool.payload(spark, "SELECT 1 AS x")["rows"] == [{"x": 1}]
+
+
+def test_each_database_tool_asks_its_own(spark, monkeypatch, tmp_path):
+    asked = []
+    monkeypatch.setattr(databases, "table", lambda s, d, text: (asked.append((d.url, text)), s.createDataFrame([(d.url,)], "u string"))[1])
+    tools, log = sqltool.Tools(), sqltool.QueryLog(spark, str(tmp_path / "log"))
+    tools.add_databases(spark, {n: databases.Database(f"url-{n}", "a", "b", n) for n in ("one", "two")}, log)
+    assert [tools.call(n, select="SELECT u FROM db.s.t")["rows"] for n in ("one", "two")] == [[{"u": "url-one"}], [{"u": "url-two"}]]
+    assert asked == [(f"url-{n}", "SELECT u FROM db.s.t") for n in ("one", "two")] and tools.describe() == {"one": "one", "two": "two"}
+    assert tools.call("one", select="DELETE FROM t")["error"] == sqltool.REJECTED and len(asked) == 2
+    log.write()
+    assert [(r["statement"], r["calls"]) for r in log.slowest(1).collect()][0][1] in (1, 2) and log.slowest().count() == 2
 
 
 def test_databases():
     env = {"DB_1_URL": "u1", "DB_1_USERNAME": "a", "DB_1_PASSWORD": "p", "DB_1_TOOL_NAME": "one", "DB_2_URL": "u2", "DB_3_URL": "u3", "DB_3_USERNAME": "a", "DB_3_PASSWORD": "p", "DB_3_TOOL_NAME": "three", "DB_5_URL": "x"}
     assert list(databases.from_environment(env)) == ["one", "three"]
     assert databases.jdbc_url("jdbc:postgresql://u@h:1/d?x=y") == "jdbc:postgresql://h:1/d"
+    for given, url in (("h", "jdbc:postgresql://h/"), (" H:5/d ", "jdbc:postgresql://h:5/d"), ("mysql://u:p@h//d#f", "jdbc:mysql://h/d"), (None, "jdbc:postgresql:///"), ("jdbc:h/d", "jdbc:postgresql://h/d")):
+        assert databases.jdbc_url(given) == url
+    assert databases.jdbc_url("h", "other") == "jdbc:postgresql://h/other"
+
+
+def test_prefix_is_tidied_as_paths_are(spark):
+    given = ["a*b", " ./../x//y ", "/../a", "\\\\src\\x", "***", "", "./.", "..//a"]
+    rows = spark.createDataFrame([(k, g.replace("*", "")) for k, g in enumerate(given)], "k int, p string").select("k", paths.normalise("p").alias("p")).collect()
+    assert {r["k"]: r["p"] for r in rows} == {k: paths.prefix_of(g) for k, g in enumerate(given)} and paths.prefix_of(None) == ""
+
+
+def test_one_failing_file_is_its_own_error(spark, tmp_path):
+    def fussy(text):
+        if "bad" in text:
+            raise RuntimeError("no blocks today")
+        return blocks.structural(text)
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.bootstrap()
+    assert store.chunks().count() == 0 and store.current()
+    counts = index.build(spark, _scanned(spark, {"a.py": "x = 1\n", "b.py": "bad\n", "c.py": ""}), store, splitter=fussy)
+    assert counts == {"index": 3}
+    assert {r["path"] for r in store.manifest().collect()} == {"a.py"} == {r["path"] for r in store.chunks().collect()}
+    report = {r["path"]: r for r in store.report().collect()}
+    assert report["b.py"]["error"] == "RuntimeError: no blocks today" and report["c.py"]["error"] == index.EMPTY and report["a.py"]["error"] is None
+    assert all(r["seconds"] >= 0 for r in report.values())
+    one = store.chunks().select("created_at").union(store.manifest().select("created_at")).distinct()
+    assert one.count() == 1  # one time for a build
+    again = index.build(spark, _scanned(spark, {"a.py": "x = 1\n", "b.py": "bad\n"}), store)
+    assert again == {"skip": 1, "index": 1} and {r["path"] for r in store.manifest().collect()} == {"a.py", "b.py"}
+
+
+def test_a_crash_before_the_pointer_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    index.build(spark, _scanned(spark, {"a.py": "x = 1\n"}), store)
+    first = store.current()
+    monkeypatch.setattr(Store, "_pointers", lambda self: [])  # another writer that has not seen the first
+    with pytest.raises(Exception):  # noqa: B017
+        store.commit(store.chunks(), store.manifest())
+    monkeypatch.undo()
+    assert store.current() == first and store.chunks().count() == 1
+
+
+def test_masked_files_keep_their_paths(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.txt", "x\ny"), ("c.md", "é"), ("../out", "z")], "path string, text string")
+    index.export_files(rows, str(tmp_path / "safe"))
+    found = {str(p.relative_to(tmp_path)): p.read_text(encoding="utf-8") for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"safe/a/b.txt": "x\ny", "safe/c.md": "é"}
+
+
+def test_pages_are_appended(spark, tmp_path):
+    at = str(tmp_path / "pages")
+    talk = lambda *rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ledger.append_pages(spark, at, talk((1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")))
+    ledger.append_pages(spark, at, talk((1, 2, "user", "d"), (3, 0, "user", "e")))
+    assert sorted((r["conv_id"], r["page_no"]) for r in spark.read.parquet(at).collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+
+
+def test_many_starts_are_merged_as_by_looking_at_all():
+    import random
+
+    def plainly(starts, end, most):
+        starts = list(starts)
+        while len(starts) > most:
+            k = min(range(1, len(starts)), key=lambda i: (starts[i + 1] if i + 1 < len(starts) else end) - starts[i - 1])
+            del starts[k]
+        return starts
+
+    rng = random.Random(2)
+    for n in (1, 2, 60, 200):
+        starts = [0, *sorted(rng.sample(range(1, 5 * n + 5), n))]
+        assert blocks._merged(starts, 5 * n + 9, 50) == plainly(starts, 5 * n + 9, 50)
+    assert len(blocks._merged(list(range(200_000)), 200_000, 50)) == 50
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_stored_index_scores_as_postings_do(spark, tmp_path, filtered):
+    import random
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rng.randint(0, 30)))) for i in range(80)], "doc_id long, text string")
+    stored = ranking.StoredIndex.build(docs, "simple", str(tmp_path / "index"), folders=4)
+    within = docs.where("doc_id % 3 = 0").select("doc_id") if filtered else None
+    for terms in (["alpha", "zeta", "none"], ["beta"], ["none"]):
+        want = sorted(map(tuple, ranking.bm25(ranking.postings(docs, "simple"), terms, within=within).collect()))
+        assert sorted(map(tuple, stored.bm25(terms, within).collect())) == want and (want or terms == ["none"])
+    plan = stored.bm25(["alpha"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [folder" in plan
 
 
 def test_ledger(spark):

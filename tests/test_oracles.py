@@ -34,7 +34,7 @@ def test_oracle(name, spark, sf_dir, duck):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"main_search"}))
 def test_runs(name, spark, sf_dir):
-    assert queries.QUERIES[name](spark, sf_dir).columns
+    assert queries.QUERIES[name](spark, sf_dir).collect()
 
 
 def test_main_search(spark, sf_dir):
