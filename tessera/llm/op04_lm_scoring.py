@@ -27,7 +27,8 @@ BUCKET_BYTES = 16 << 20
 #: Weight of the bigram after a frequent word, occurrences of a word at which it has half of that, added to each word's count.
 WEIGHT, HALF, ADDED = 0.8, 1.0, 0.5
 _BOUNDARY = np.uint64(0x5851F42D4C957F2D)
-_SCHEMA = "chunk long, bucket int, keys binary, target binary, rest binary, ids binary, offsets binary, words binary, n_target long, n_rest long, members array<boolean>"
+_CHUNK = "chunk long, ids binary, offsets binary, words binary, n_target long, n_rest long, members array<boolean>"
+_ENTRY = "chunk long, bucket int, keys binary, target binary, rest binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -77,31 +78,39 @@ class _Grams:
         return times[which]
 
 
-def _gather(buckets: int):
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk one row without a bucket, with its documents' tokens, and one for each bucket, with its n-grams."""
-        for nth, table in enumerate(chunks(batches, most=WORD_CHUNK_BYTES)):
-            tokens, members = Tokens(table["text"], NOT_WORD), np.array(table["in_target"].to_pylist(), bool)
-            words = word_hashes(*code_points(tokens.vocab))
-            grams = _Grams(words, tokens.ids, tokens.offsets)
-            chunk, (order, edges) = TaskContext.get().partitionId() << 32 | nth, grams.dealt(buckets)
-            keys, target, rest = grams.keys[order], grams.counts(members)[order], grams.counts(~members)[order]
-            own = members[grams.owner]
-            row = {
-                "chunk": chunk, "bucket": -1, "ids": _packed(tokens.ids.astype(np.int32)), "offsets": tokens.offsets.astype(np.int64).tobytes(), "words": words.tobytes(),
-                "n_target": int(own.sum()), "n_rest": int((~own).sum()), "doc_ids": table["doc_id"].to_pylist(), "members": members.tolist(),
-            }
-            rows = [row]
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[k], edges[k + 1])
-                rows.append({"chunk": chunk, "bucket": k, "keys": keys[part].tobytes(), "target": _packed(target[part]), "rest": _packed(rest[part])})
-            schema = pa.schema([
-                ("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "target", "rest", "ids", "offsets", "words")),
-                ("n_target", pa.int64()), ("n_rest", pa.int64()), ("members", pa.list_(pa.bool_())), ("doc_ids", pa.list_(table.schema.field("doc_id").type)),
-            ])
-            yield from pa.Table.from_pylist(rows, schema).to_batches()
-
-    return gather
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk: its words, and its documents' tokens."""
+    for nth, table in enumerate(chunks(batches, most=WORD_CHUNK_BYTES)):
+        tokens, members = Tokens(table["text"], NOT_WORD), np.array(table["in_target"].to_pylist(), bool)
+        sizes = np.diff(tokens.offsets) + (np.diff(tokens.offsets) > 0)
+        row = {
+            "chunk": TaskContext.get().partitionId() << 32 | nth, "ids": _packed(tokens.ids.astype(np.int32)), "offsets": tokens.offsets.astype(np.int64).tobytes(),
+            "words": word_hashes(*code_points(tokens.vocab)).tobytes(), "n_target": int(sizes[members].sum()), "n_rest": int(sizes[~members].sum()), "members": members.tolist(), "doc_ids": table["doc_id"].to_pylist(),
+        }
+        schema = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "offsets", "words")), ("n_target", pa.int64()), ("n_rest", pa.int64()), ("members", pa.list_(pa.bool_())), ("doc_ids", pa.list_(table.schema.field("doc_id").type))])
+        yield from pa.Table.from_pylist([row], schema).to_batches()
+
+
+def _grams_of(row: dict) -> _Grams:
+    offsets = np.frombuffer(row["offsets"], np.int64)
+    return _Grams(np.frombuffer(row["words"], np.uint64), _unpacked(row["ids"], int(offsets[-1]), np.int32).astype(np.int64), offsets)
+
+
+def _entries(buckets: int):
+    def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each chunk and bucket: the chunk's n-grams in it."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                grams, members = _grams_of(row), np.array(row["members"], bool)
+                order, edges = grams.dealt(buckets)
+                keys, target, rest = grams.keys[order], grams.counts(members)[order], grams.counts(~members)[order]
+                full = np.flatnonzero(np.diff(edges))
+                parts = [slice(edges[b], edges[b + 1]) for b in full]
+                columns = [[keys[p].tobytes() for p in parts], [_packed(target[p]) for p in parts], [_packed(rest[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["chunk", "bucket", "keys", "target", "rest"])
+
+    return enter
 
 
 def _total(rows: pa.Table) -> pa.Table:
@@ -147,10 +156,11 @@ def score_against_target(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    gathered = stage(rows.mapInArrow(_gather(buckets), f"{_SCHEMA}, doc_ids array<{id_type}>"), "lm-chunks")
-    entries = gathered.where("bucket >= 0").select("chunk", "bucket", "keys", "target", "rest")
+    # written, so that a chunk has the same documents whenever it is read
+    gathered = stage(rows.mapInArrow(_gather, f"{_CHUNK}, doc_ids array<{id_type}>"), "lm-chunks")
+    entries = gathered.select("chunk", "ids", "offsets", "words", "members").mapInArrow(_entries(buckets), _ENTRY)
     totals = stage(entries.groupBy("bucket").applyInArrow(lambda t: _total(t), "chunk long, bucket int, target binary, rest binary, different long"), "lm-totals")
-    found = gathered.where("bucket < 0").agg(F.sum("n_target").alias("t"), F.sum("n_rest").alias("b")).first()
+    found = gathered.agg(F.sum("n_target").alias("t"), F.sum("n_rest").alias("b")).first()
     in_target, in_rest = found["t"] or 0, found["b"] or 0
     different = totals.agg(F.sum("different").alias("n")).first()["n"] or 0
     scale = in_target / in_rest if in_target and in_rest else 1.0
@@ -158,8 +168,7 @@ def score_against_target(docs: DataFrame) -> DataFrame:
 
     def score(own: pa.Table, parts: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        offsets = np.frombuffer(row["offsets"], np.int64)
-        grams = _Grams(np.frombuffer(row["words"], np.uint64), _unpacked(row["ids"], int(offsets[-1]), np.int32).astype(np.int64), offsets)
+        grams = _grams_of(row)
         order, edges = grams.dealt(buckets)
         known = np.zeros((2, len(grams.keys)), np.int64)
         for part in parts.to_pylist():
@@ -174,7 +183,7 @@ def score_against_target(docs: DataFrame) -> DataFrame:
         ids = own["doc_ids"].chunk(0).flatten()
         return pa.Table.from_arrays([ids, *map(pa.array, (n.astype(np.int64), t, b, c, t - b))], names)
 
-    chunk = gathered.where("bucket < 0").select("chunk", "ids", "offsets", "words", "members", "doc_ids").groupBy("chunk")
+    chunk = gathered.select("chunk", "ids", "offsets", "words", "members", "doc_ids").groupBy("chunk")
     reply = totals.where("chunk >= 0").select("chunk", "bucket", "target", "rest").groupBy("chunk")
     return chunk.cogroup(reply).applyInArrow(lambda a, b: score(a, b), f"doc_id {id_type}, n_tokens long, ce_target double, ce_background double, ce_corpus double, score double")
 
