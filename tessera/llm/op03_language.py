@@ -21,7 +21,7 @@ from tessera.llm.textarrays import NOT_LETTERS, WORD_CHUNK_BYTES, Tokens, chunks
 PER_LANGUAGE, CALIBRATE = 2_000, 5
 REJECT = 0.995
 #: Documents from which a language has some that set its threshold.
-LEAST = 50
+LEAST = 10
 #: The confidence is the posterior that this many characters of the text give, at most, so that long texts don't all get 1.
 CHARACTERS = 40
 

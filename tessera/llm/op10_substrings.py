@@ -148,15 +148,16 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
 
 
 def _chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d1, d2, doc_id: the chunks of every document that can hold a passage."""
+    """d1, d2, doc_id, copied: the chunks of every document that can hold a passage."""
     for table, _, cut in _texts(batches):
         text, d1, d2 = cut.chunks()
         long = np.bincount(cut.text, minlength=table.num_rows)[text] >= WORDS
-        yield pa.RecordBatch.from_arrays([pa.array(d1[long]), pa.array(d2[long]), flat(table["doc_id"]).take(pa.array(text[long]))], ["d1", "d2", "doc_id"])
+        at = pa.array(text[long])
+        yield pa.RecordBatch.from_arrays([pa.array(d1[long]), pa.array(d2[long]), flat(table["doc_id"]).take(at), flat(table["copied"]).take(at)], ["d1", "d2", "doc_id", "copied"])
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """w1, w2, doc_id, nth, at: the windows whose chunks are among the document's shared ones.
+    """w1, w2, doc_id, copied, nth, at: the windows whose chunks are among the document's shared ones.
 
     nth packs version (31 bits) and the window's place (32), at packs its first byte (31) and bytes (32).
     """
@@ -172,7 +173,8 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = at - np.searchsorted(cut.text, text)
         w1, w2 = cut.digest(at, at + WORDS, False)
         version = table["version"].to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), flat(table["doc_id"]).take(pa.array(text)), pa.array(version << 32 | nth), pa.array(start << 32 | stop - start)], ["w1", "w2", "doc_id", "nth", "at"])
+        owner = pa.array(text)
+        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), flat(table["doc_id"]).take(owner), flat(table["copied"]).take(owner), pa.array(version << 32 | nth), pa.array(start << 32 | stop - start)], ["w1", "w2", "doc_id", "copied", "nth", "at"])
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +208,7 @@ def _joined(rows: np.ndarray) -> list[tuple]:
     rows: doc_id, version, nth, start, end, first_doc and again of its windows.
     """
     rows = rows[np.append(True, rows[1:, 2] != rows[:-1, 2])]  # repeated rows of docs
-    doc, nth, start, end, first, again = int(rows[0, 0]), *rows[:, 2:].T
+    doc, version, (nth, start, end, first, again) = int(rows[0, 0]), int(rows[0, 1]), rows[:, 2:].T
     cuts = np.flatnonzero((np.diff(nth) > WORDS) | (np.diff(first) != 0) | (np.diff(again) != 0)) + 1
     # windows in a row of one first holder: who, first word and the word after, first byte and end
     runs = [(int(first[a]), int(again[a]), int(nth[a]), int(nth[e - 1]) + WORDS, int(start[a]), int(end[e - 1])) for a, e in pairwise([0, *cuts.tolist(), len(nth)])]
@@ -225,13 +227,13 @@ def _joined(rows: np.ndarray) -> list[tuple]:
             left = opens[a + base] if a + base in opens else closes[a + base]
             goes_on = e < len(holder) and held[e]
             right = opens[e + base] if goes_on and e + base in opens else closes[e + base]
-            out.append((doc, left, right - left, e - a, int(source[a]), int(source[a]) != doc or bool(later[a])))
+            out.append((doc, left, right - left, e - a, int(source[a]), int(source[a]) != doc or bool(later[a]), version))
     return out
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "bytes", "words", "first_doc_id", "removed"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "bytes", "words", "first_doc_id", "removed", "version"])
 
 
 def repeated_spans(docs: DataFrame, within: bool = False) -> DataFrame:
@@ -251,27 +253,41 @@ def repeated_spans(docs: DataFrame, within: bool = False) -> DataFrame:
     cleanup, session = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", docs.sparkSession
     before = session.conf.get(cleanup)
     session.conf.set(cleanup, "true")  # what is staged needs no shuffle files
+    columns = ["doc_id", "start", "bytes", "words", "first_doc_id", "removed"]
     try:
-        windows, repeated = _counted(rows, within)
+        # of equal texts only that of the least document is searched: all of it is repeated, and the others have its passages
+        named = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(10), "text")})
+        listed = stage(named.select("doc_id", "t1", "t2"), "texts")
+        copied = listed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least != last")
+        copied = stage(copied.select("t1", "t2", "least"), "copied-texts")
+        version = F.col("t1").bitwiseAND(F.lit((1 << 31) - 1)).alias("version")
+        others = stage(listed.join(small(copied), ["t1", "t2"]).where("doc_id != least").select("doc_id", F.col("least").alias("of"), version).distinct(), "copies")
+        own = named.join(small(copied), ["t1", "t2"], "left").where("least is null or doc_id = least").select("doc_id", version, "text", F.col("least").isNotNull().alias("copied"))
+        windows, repeated = _counted(own, within)
+        mine = windows.join(small(repeated), ["w1", "w2"])
+        again = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("nth") != F.col("first.nth")) if within else F.lit(False)
+        ordered = mine.select("doc_id", "nth", "at", F.col("first.doc_id").alias("first_doc"), again.cast("long").alias("again")).repartition("doc_id").sortWithinPartitions("doc_id", "nth")
+        spans = stage(ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean, version long"), "spans")
     finally:
         session.conf.set(cleanup, before)
-    mine = windows.join(small(repeated), ["w1", "w2"])
-    again = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("nth") != F.col("first.nth")) if within else F.lit(False)
-    ordered = mine.select("doc_id", "nth", "at", F.col("first.doc_id").alias("first_doc"), again.cast("long").alias("again")).repartition("doc_id").sortWithinPartitions("doc_id", "nth")
-    return ordered.mapInArrow(_runs, "doc_id long, start long, bytes long, words long, first_doc_id long, removed boolean")
+    as_copies = spans.withColumnRenamed("doc_id", "of").drop("removed").join(small(others), ["of", "version"]).withColumn("removed", F.lit(True))
+    return spans.select(*columns).unionByName(as_copies.select(*columns))
 
 
 def _counted(rows: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
-    """The windows that can be repeated, and the digests that are, with their first holders; both are staged."""
-    cut = stage(rows.mapInArrow(_chunk_rows, "d1 long, d2 long, doc_id long"), "chunks")
-    many = F.count("*") > 1 if within else F.min("doc_id") != F.max("doc_id")
+    """The windows that can be repeated, and the digests that are, with their first holders; both are staged.
+
+    rows: doc_id, version, text, copied (whether other documents have the text).
+    """
+    cut = stage(rows.mapInArrow(_chunk_rows, "d1 long, d2 long, doc_id long, copied boolean"), "chunks")
+    many = F.max("copied") | (F.count("*") > 1 if within else F.min("doc_id") != F.max("doc_id"))
     shared = stage(cut.groupBy("d1", "d2").agg(many.alias("many")).where("many").select("d1", "d2"), "shared-chunks")
     of_doc = stage(cut.join(small(shared), ["d1", "d2"]).groupBy("doc_id").agg(F.collect_set("d1").alias("shared")), "document-chunks")
-    likely = rows.join(small(of_doc), "doc_id").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("version"), "text", "shared")
-    windows = stage(likely.mapInArrow(_windows, "w1 long, w2 long, doc_id long, nth long, at long"), "windows")
+    likely = rows.join(small(of_doc), "doc_id").select("doc_id", "version", "text", "copied", "shared")
+    windows = stage(likely.mapInArrow(_windows, "w1 long, w2 long, doc_id long, copied boolean, nth long, at long"), "windows")
     first = F.min(F.struct("doc_id", "nth")) if within else F.struct(F.min("doc_id").alias("doc_id"))
     held = windows.groupBy("w1", "w2").agg(first.alias("first"), many.alias("many")).where("many")
-    return windows, stage(held.select("w1", "w2", "first"), "repeated")
+    return windows.drop("copied"), stage(held.select("w1", "w2", "first"), "repeated")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
