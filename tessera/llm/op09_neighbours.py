@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Every row is indexed in one cell of each tree. The trees are fitted on a bounded sample; cells that then hold more than
-MOST rows get a tree of their own, fitted on a sample of the cell, until none does, so a query's work does not grow with
-the table. A query takes cells of all trees from one priority queue, by the largest margin on the way, and the rows in
+MOST rows get a tree of their own, fitted on a sample of the cell, until none does, so cells do not grow with the table;
+the number that a query must visit for the same recall does, by less than the table. A query takes cells of all trees from one priority queue, by the largest margin on the way, and the rows in
 them are reranked exactly, by sums in the order of the components. How many cells it takes is set by queries whose true
 neighbours are found by comparing them with all rows. Nearness is the largest inner product: rows get one more component
 that makes all norms equal, so that it is an angle. Equal vectors are indexed once with their smallest ids, as no query
