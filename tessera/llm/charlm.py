@@ -15,23 +15,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import stage
-from tessera.llm.textarrays import WORD_CHUNK_BYTES, Tokens, chunks, code_points
+from tessera.llm.textarrays import WORD_CHUNK_BYTES, Tokens, chunks, code_points, pieces
 
 ORDER = 5
+#: N-grams that a worker handles at once.
+ROWS = 1 << 17
 _START, _END = 2, 3
 _Q = 0xD6E8FEB86659FD93
 
 
-def _grams(vocab: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, the order - 1 before each; one row for each character and end mark) and each word's number of rows."""
-    codes, lengths = code_points(vocab)
-    starts = np.cumsum(lengths + order) - (lengths + order)
-    padded = np.full(int((lengths + order).sum()), _START, np.uint32)
-    inside = np.arange(len(codes)) + np.repeat(starts + order - 1 - (np.cumsum(lengths) - lengths), lengths)
-    padded[inside] = codes
-    padded[starts + order - 1 + lengths] = _END
-    scored = np.arange(int((lengths + 1).sum())) + np.repeat(starts + order - 1 - (np.cumsum(lengths + 1) - lengths - 1), lengths + 1)
-    return padded[scored[:, None] + np.arange(1 - order, 1)], lengths + 1
+def _grams(vocab: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first word, number of rows of each word from it on, rows), about ROWS rows at a time; a word of more comes in parts.
+
+    A row is a character and the order - 1 before it; there is one for each character and end mark.
+    """
+    ends = np.cumsum(pa.compute.utf8_length(vocab).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    word = 0
+    while word < len(vocab):
+        stop = max(word + 1, int(np.searchsorted(ends, (ends[word - 1] if word else 0) + ROWS, side="right")))
+        codes, lengths = code_points(vocab.slice(word, stop - word))
+        starts = np.cumsum(lengths + order) - (lengths + order)
+        padded = np.full(int((lengths + order).sum()), _START, np.uint32)
+        mark = np.zeros(len(padded), bool)
+        mark[(starts[:, None] + np.arange(order - 1)).ravel()] = True
+        scored = np.flatnonzero(~mark)
+        padded[starts + order - 1 + lengths] = _END
+        mark[starts + order - 1 + lengths] = True
+        padded[~mark] = codes
+        for low in range(0, len(scored), ROWS):
+            part = scored[low : low + ROWS]
+            yield word, lengths + 1 if len(scored) <= ROWS else np.array([len(part)]), padded[part[:, None] + np.arange(1 - order, 1)]
+        word = stop
 
 
 def _keys(columns: np.ndarray, order: int) -> np.ndarray:
@@ -46,16 +60,14 @@ def _counter(order: int, separator: str):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, most=WORD_CHUNK_BYTES):
             for name in table["class"].unique().to_pylist():
-                of = table.filter(pa.compute.equal(table["class"], name))
-                tokens = Tokens(of["text"], separator)
-                if not len(tokens.vocab):
-                    continue
-                columns, rows = _grams(tokens.vocab, order)
-                _, first, which = np.unique(_keys(columns, order), return_index=True, return_inverse=True)
-                times = np.repeat(np.bincount(tokens.ids, minlength=len(rows)), rows)
-                n = np.bincount(which, weights=times).astype(np.int64)
-                text = np.ascontiguousarray(columns[first]).view(f"<U{order}").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(n)], ["class", "gram", "n"])
+                for texts, _ in pieces(table.filter(pa.compute.equal(table["class"], name))["text"]):
+                    tokens = Tokens(texts, separator)
+                    times = np.bincount(tokens.ids, minlength=len(tokens.vocab))
+                    for word, rows, columns in _grams(tokens.vocab, order):
+                        _, first, which = np.unique(_keys(columns, order), return_index=True, return_inverse=True)
+                        n = np.bincount(which, weights=np.repeat(times[word : word + len(rows)], rows)).astype(np.int64)
+                        text = np.ascontiguousarray(columns[first]).view(f"<U{order}").ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(n)], ["class", "gram", "n"])
 
     return count
 
@@ -124,9 +136,10 @@ class CharLM:
 
     def score(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each word the log-probability by class, and its number of characters with the end mark."""
-        if not len(vocab):
-            return np.zeros((0, len(self.classes))), np.zeros(0, np.int64)
-        columns, rows = _grams(vocab, self.order)
-        _, first, which = np.unique(_keys(columns, self.order), return_index=True, return_inverse=True)
-        values = self.log_probs(columns[first])
-        return np.add.reduceat(values[which], np.cumsum(rows) - rows, axis=0, dtype=np.float64), rows
+        logs, sizes = np.zeros((len(vocab), len(self.classes))), np.zeros(len(vocab), np.int64)
+        for word, rows, columns in _grams(vocab, self.order):
+            _, first, which = np.unique(_keys(columns, self.order), return_index=True, return_inverse=True)
+            values, own = self.log_probs(columns[first]), slice(word, word + len(rows))
+            logs[own] += np.add.reduceat(values[which], np.cumsum(rows) - rows, axis=0, dtype=np.float64)
+            sizes[own] += rows
+        return logs, sizes

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.charlm import CharLM, count_grams
 from tessera.llm.shared import held_out, read, tune
-from tessera.llm.textarrays import NOT_LETTERS, WORD_CHUNK_BYTES, Tokens, chunks
+from tessera.llm.textarrays import NOT_LETTERS, WORD_CHUNK_BYTES, Tokens, chunks, pieces
 
 #: Learning documents of a language that the models are fitted on, about; every CALIBRATE-th of them only sets thresholds.
 PER_LANGUAGE, CALIBRATE = 2_000, 5
@@ -32,10 +32,13 @@ class Identifier:
 
     def predict(self, column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language (und without letters), confidence, cross-entropy in nats a character, rejected."""
-        tokens = Tokens(column, NOT_LETTERS)
-        logs, sizes = self.model.score(tokens.vocab)
-        n = tokens.sums(sizes.astype(np.float64))
-        ce = -tokens.sums(logs) / np.maximum(n, 1)[:, None]
+        n, total = np.zeros(len(column)), np.zeros((len(column), len(self.model.classes)))
+        for texts, rows in pieces(column):
+            tokens = Tokens(texts, NOT_LETTERS)
+            logs, sizes = self.model.score(tokens.vocab)
+            n[rows] += tokens.sums(sizes.astype(np.float64))
+            total[rows] += tokens.sums(logs)
+        ce = -total / np.maximum(n, 1)[:, None]
         best = ce.argmin(1)
         low = ce[np.arange(len(ce)), best]
         odds = np.exp(-(ce - low[:, None]) * np.minimum(n, CHARACTERS)[:, None])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 NOT_LETTERS, NOT_WORD = r"[^\p{L}\p{M}]+", r"[^\p{L}\p{M}\p{N}_]+"
 #: Bytes of text that a worker handles at once, and those where the work is per distinct word; one longer text is handled alone.
 CHUNK_BYTES, WORD_CHUNK_BYTES = 1 << 20, 4 << 20
+#: Characters that are in no word, in UTF-8: ASCII but letters, digits and the underscore; the ideographic space, comma and stop.
+_BETWEEN = re.compile(rb"[\x00-/:-@\[-^`{-\x7f]|\xe3\x80[\x80-\x82]|\xef\xbc\x8c")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +38,27 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CH
         yield pa.Table.from_batches(held)
 
 
+def pieces(column: pa.ChunkedArray, most: int = WORD_CHUNK_BYTES) -> Iterator[tuple[pa.ChunkedArray, np.ndarray]]:
+    """(texts, the row of each): all texts of at most that many bytes, then pieces of the longer ones, one at a time.
+
+    A text is cut between two words, so its pieces have its words; one without such a place is left whole.
+    """
+    lengths = np.concatenate([pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0, int)])
+    short = lengths <= most
+    if short.all():
+        yield column, np.arange(len(column))
+        return
+    yield column.filter(pa.array(short)), np.flatnonzero(short)
+    for row in np.flatnonzero(~short).tolist():
+        whole = column[row].as_buffer()
+        at = 0
+        while at < whole.size:
+            cut = _BETWEEN.search(whole, at + most)
+            stop = cut.end() if cut else whole.size
+            yield pa.chunked_array([pa.array([whole.slice(at, stop - at).to_pybytes()], pa.large_binary()).cast(pa.large_string())]), np.array([row])
+            at = stop
+
+
 def flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
@@ -63,7 +87,7 @@ class Tokens:
         out = np.zeros((len(self.offsets) - 1, *values.shape[1:]))
         full = np.diff(self.offsets) > 0
         if full.any():
-            out[full] = np.add.reduceat(values[self.ids].astype(np.float64), self.offsets[:-1][full], axis=0)
+            out[full] = np.add.reduceat(values.astype(np.float64, copy=False)[self.ids], self.offsets[:-1][full], axis=0)
         return out
 
 

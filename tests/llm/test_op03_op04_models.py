@@ -1,18 +1,21 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import charlm
 from tessera.llm import op03_language as lid
 from tessera.llm import op04_lm_scoring as lm
 from tessera.llm.charlm import CharLM, count_grams
 from tessera.llm.shared import held_out
-from tessera.llm.textarrays import NOT_LETTERS, Tokens, word_hashes, code_points
+from tessera.llm.textarrays import NOT_LETTERS, Tokens, code_points, pieces, word_hashes
 
 
 class Brute:
@@ -178,3 +181,37 @@ def test_lm_query(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     means = {r["quality"]: r["m"] for r in rows.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
     assert means[1] < means[0] and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_long_texts_are_scored_in_parts(make, monkeypatch):
+    docs = _languages(make)
+    known = lid.learn(docs.select("doc_id", "text", "lang"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ,.。é7_") for _ in range(4000)), None, "", "".join(rng.choice("abc") for _ in range(3000)), "ab cd"]
+    column = pa.chunked_array([pa.array(texts, pa.string())])
+    words = [pc.value_counts(t.vocab.take(pa.array(t.ids))).to_pylist() for t in [Tokens(column)]]
+    whole = known.predict(column)
+    monkeypatch.setattr(charlm, "ROWS", 50)
+    monkeypatch.setattr(lid, "pieces", lambda c: pieces(c, 64))
+    parts = known.predict(column)
+    assert whole[0] == parts[0] and whole[3].tolist() == parts[3].tolist()
+    assert np.allclose(whole[1], parts[1], rtol=1e-9) and np.allclose(whole[2], parts[2], rtol=1e-9)
+    cut = [(t, row) for some, rows in pieces(column, 64) for t, row in zip(some.to_pylist(), rows.tolist(), strict=True)]
+    assert all("".join(t or "" for t, row in cut if row == i) == (text or "") for i, text in enumerate(texts)) and len(cut) > 50
+    counted = Counter(t.vocab[int(i)].as_py() for some, _ in pieces(column, 64) for t in [Tokens(some)] for i in t.ids)
+    assert counted == Counter({x["values"]: x["counts"] for x in words[0]})
+
+
+def test_memory_for_a_long_word_is_bounded(make):
+    model = lid.learn(_languages(make).select("doc_id", "text", "lang")).model
+
+    def peak(n):
+        word = pa.array(["abcdefgh" * (n // 8)], pa.large_string())
+        tracemalloc.start()
+        try:
+            model.score(word)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(1_200_000) - peak(400_000) < 40 * 800_000
