@@ -286,7 +286,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     level = F.floor(F.log("n") / np.log(1.001 / threshold)).cast("int")
     members = heads.join(small(groups), F.col("cid") == F.col("node")).select("cid", "rep", "s1", "s2", "n", F.col("component").alias("grp"), level.alias("level"))
     members = stage(members, "members")
-    wanted = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    wanted = members.select(F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id", "left_semi")
     sets = stage(texts.mapInArrow(_set_rows, "s1 long, s2 long, set binary"), "sets")
     keys = ["grp", "level", "i", "step", "j"]

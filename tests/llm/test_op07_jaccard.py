@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import components as joins
 from tessera.llm import op07_jaccard_join as op
 from tessera.llm.components import components
+from tessera.llm.shared import stage
 from tessera.llm.shingles import shingle_sets
 
 
@@ -151,6 +153,17 @@ def test_components(spark, seed):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch, few):
+    names = []
+    monkeypatch.setattr(joins, "FEW", few, raising=False)
+    monkeypatch.setattr(joins, "stage", lambda df, name: names.append(name) or stage(df, name))
+    chain = [(i + 1, i) for i in range(100, 140)] + [(7, k) for k in range(900, 930)] + [(-3, 900), (5, 5), (139, 100)]
+    rows = joins.components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in rows} == {i: 100 for i in range(100, 141)} | {k: -3 for k in (-3, 7, *range(900, 930))}
+    assert len(rows) == 41 + 32 and ("stars" in names) is (few == 0)
+
+
 def test_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r["doc_id"] for r in op.op7_jaccard_join(spark, sf_dir).collect()} == {i for i, _ in docs}
