@@ -2,9 +2,11 @@
 
 Every row is indexed in one cell of each tree. The trees are fitted on a bounded sample; cells that then hold more than
 MOST rows get a tree of their own, fitted on a sample of the cell, until none does, so cells do not grow with the table;
-the number that a query must visit for the same recall does, by less than the table. A query takes cells of all trees from one priority queue, by the largest margin on the way, and the rows in
-them are reranked exactly, by sums in the order of the components. How many cells it takes is set by queries whose true
-neighbours are found by comparing them with all rows. Nearness is the largest inner product: rows get one more component
+the number that a query must visit for the same recall does, by less than the table. A query takes cells of all trees from one
+priority queue, by the largest margin on the way, and the rows in them are reranked exactly, by sums in the order of the
+components. The first cells of a query give the score that a row of its other cells must reach to be among the nearest, and
+only such rows leave these. How many cells it takes is set by queries whose true neighbours are found by comparing them
+with all rows. Nearness is the largest inner product: rows get one more component
 that makes all norms equal, so that it is an angle. Equal vectors are indexed once with their smallest ids, as no query
 can return more of them.
 """
@@ -30,6 +32,8 @@ TREES, LEAF, MOST, LEAST, RECALL, NEAREST = 10, 512, 2_048, 64, 0.96, 20
 FORESTS = 16
 #: Rows or queries of one cell that one task compares, about.
 BLOCK = 8_000
+#: Nearest cells of a query that set the least score for the rows of its other cells.
+FIRST = 10
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,35 +132,36 @@ def valid(table: DataFrame) -> DataFrame:
     return sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("embedding").alias("dim"), "embedding")
 
 
-def _top_exact(asked: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best vectors by sums of products in the order of the components; ties
-    go to the lesser place in order. The matrix product only leaves out what is too far by more than its rounding."""
+def _top_exact(asked: np.ndarray, least: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best vectors of at least its least score, by sums of products in the order
+    of the components; ties go to the lesser place in order. The matrix product only leaves out what is too far by more
+    than its rounding."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     longest = np.sqrt((vectors**2).sum(1).max())
     for a in range(0, len(asked), 256):
         own = asked[a : a + 256]
         near, take = own @ vectors.T, min(k, len(vectors))
         slack = 8 * (own.shape[1] + 2) * np.finfo(float).eps * np.sqrt((own**2).sum(1)) * longest
-        limit = np.partition(near, len(vectors) - take, axis=1)[:, len(vectors) - take] - slack
+        limit = np.maximum(np.partition(near, len(vectors) - take, axis=1)[:, len(vectors) - take], least[a : a + 256]) - slack
         q, v = np.nonzero(near >= limit[:, None])
         score = np.zeros(len(q))
         for j in range(own.shape[1]):
             score += own[q, j] * vectors[v, j]
         best = np.lexsort((order[v], -score, q))
         q, v, score = q[best], v[best], score[best]
-        kept = np.arange(len(q)) - np.searchsorted(q, q) < take
+        kept = (np.arange(len(q)) - np.searchsorted(q, q) < take) & (score >= least[q + a])
         out.append((q[kept] + a, v[kept], score[kept]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _compare(queries: pa.Table, members: pa.Table, k: int) -> pa.Table:
-    """query, rep, first, score: the k nearest members of each query."""
+    """query, rep, first, score: the k nearest members of each query, without those below its least score."""
     q = v = np.zeros(0, int)
     score = np.zeros(0)
     if queries.num_rows and members.num_rows:
         order = np.empty(members.num_rows, int)
         order[np.lexsort((members["rep"].to_numpy(), members["first"].to_numpy()))] = np.arange(members.num_rows)
-        q, v, score = _top_exact(_matrix(queries["embedding"]), _matrix(members["embedding"]), order, k)
+        q, v, score = _top_exact(_matrix(queries["embedding"]), queries["least"].to_numpy(), _matrix(members["embedding"]), order, k)
     at = pa.array(v)
     return pa.table({"query": queries["query"].take(pa.array(q)), "rep": members["rep"].take(at), "first": members["first"].take(at), "score": pa.array(score, pa.float64())})
 
@@ -317,6 +322,31 @@ def calibrated(index: Index, queries: DataFrame, k: int, wanted: float = RECALL)
     return 1, 1.0
 
 
+def _compared(index: Index, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, rep, first, score: the k + 1 nearest rows of each asked cell (query, dim, cell, least) that have the least score."""
+    # a cell with many rows or queries is compared in blocks of both
+    blocks = lambda t, name: t.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+    cut = stage(blocks(index.members, "rbs").join(blocks(asked, "qbs"), ["dim", "cell"], "full").na.fill(1), "ann-blocks")
+    deal = lambda t, own, mine, other, n_mine, n_other: (
+        t.join(small(cut), ["dim", "cell"], "left").na.fill(1, ["rbs", "qbs"])
+        .withColumn(mine, F.pmod(F.xxhash64(own), n_mine).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+    )
+    members = index.members.join(small(asked.select("dim", "cell").distinct()), ["dim", "cell"], "left_semi")
+    members = deal(members, "rep", "rb", "qb", "rbs", "qbs").join(index.distinct.select("rep", "first", "embedding"), "rep")
+    askers = deal(asked, "query", "qb", "rb", "qbs", "rbs").join(queries.select("query", "embedding"), "query")
+    keys = ["dim", "cell", "rb", "qb"]
+    return askers.select(*keys, "query", "least", "embedding").groupBy(*keys).cogroup(members.select(*keys, "rep", "first", "embedding").groupBy(*keys)).applyInArrow(
+        lambda q, m: _compare(q, m, k + 1), "query long, rep long, first long, score double"
+    )
+
+
+def _nearest(near: DataFrame, k: int) -> DataFrame:
+    """query, rep, first, score: the k + 1 nearest rows of each query."""
+    once = near.groupBy("query", "rep", "first").agg(F.max("score").alias("score"))  # all its scores are the same
+    by_rep = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first", "rep"))
+    return once.withColumn("r", by_rep).where(F.col("r") <= k + 1).drop("r")
+
+
 def neighbours(table: DataFrame, is_query: Column, k: int = NEAREST, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row (is_query: a condition on vec_id).
 
@@ -338,24 +368,15 @@ def neighbours(table: DataFrame, is_query: Column, k: int = NEAREST, trees: int
     queries = stage(rows.where(is_query).join(small(most), "dim").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "dim", "most", "embedding"), "ann-queries")
     index = Index(distinct, trees)
     visits, _ = calibrated(index, queries.drop("query_id"), k)
-    asked = stage(index.search(queries.drop("query_id"), visits).drop("place"), "ann-asked")
-    # a cell with many rows or queries is compared in blocks of both
-    blocks = lambda t, name: t.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
-    cut = stage(blocks(index.members, "rbs").join(blocks(asked, "qbs"), ["dim", "cell"], "full").na.fill(1), "ann-blocks")
-    deal = lambda t, own, mine, other, n_mine, n_other: (
-        t.join(small(cut), ["dim", "cell"], "left").na.fill(1, ["rbs", "qbs"])
-        .withColumn(mine, F.pmod(F.xxhash64(own), n_mine).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-    )
-    members = index.members.join(small(asked.select("dim", "cell").distinct()), ["dim", "cell"], "left_semi")
-    members = deal(members, "rep", "rb", "qb", "rbs", "qbs").join(distinct.select("rep", "first", "embedding"), "rep")
-    askers = deal(asked, "query", "qb", "rb", "qbs", "rbs").join(queries.select("query", "embedding"), "query")
-    keys = ["dim", "cell", "rb", "qb"]
-    near = askers.select(*keys, "query", "embedding").groupBy(*keys).cogroup(members.select(*keys, "rep", "first", "embedding").groupBy(*keys)).applyInArrow(
-        lambda q, m: _compare(q, m, k + 1), "query long, rep long, first long, score double"
-    )
-    once = near.groupBy("query", "rep", "first").agg(F.max("score").alias("score"))  # all its scores are the same
-    by_rep = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first", "rep"))
-    best = once.withColumn("r", by_rep).where(F.col("r") <= k + 1).select("query", "rep", "score")
+    asked = stage(index.search(queries.drop("query_id"), visits), "ann-asked")
+    everything = F.lit(float("-inf"))
+    best = _nearest(_compared(index, asked.where(F.col("place") <= FIRST).withColumn("least", everything), queries, k), k)
+    if visits > FIRST:
+        best = stage(best, "ann-best")
+        nth = best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k)
+        least = stage(nth.select("query", "least"), "ann-least")
+        others = asked.where(F.col("place") > FIRST).join(small(least), "query", "left").withColumn("least", F.coalesce("least", everything))
+        best = _nearest(best.unionByName(_compared(index, others, queries, k)), k)
     spread = best.join(distinct.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("id")).where("id.row != query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id.vec_id", "id.row"))
     ranked = spread.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)

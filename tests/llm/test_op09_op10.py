@@ -105,6 +105,29 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ann.neighbours(table, F.col("vec_id") % 20 == 0).collect())) == whole
 
 
+def test_other_cells_give_only_rows_that_can_be_nearest(spark, monkeypatch):
+    for name, value in (("SAMPLE", 300), ("LEAF", 32), ("MOST", 64), ("LEAST", 16), ("TRIALS", 40)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=10).round(1).tolist() for i in range(1_500)} | {i: [1.0] * 10 for i in range(1_500, 1_560)}
+    vectors |= {3_000: [1.0, 2.0], 3_020: [2.0, 1.0]}  # fewer candidates than neighbours
+    table = spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], SCHEMA)
+    made = []
+    monkeypatch.setattr(ann, "_compared", lambda *a, own=ann._compared: (rows := own(*a), made.append(rows.count()))[0])
+    got = {}
+    for first in (4, 10**6):
+        monkeypatch.setattr(ann, "FIRST", first)
+        got[first] = sorted(map(tuple, ann.neighbours(table, F.col("vec_id") % 20 == 0, trees=4).collect()))
+    few, later, whole = made
+    assert got[4] == got[10**6] and len(got[4]) == 78 * 20 + 2 and few + later < whole / 2
+
+
+def test_least_scores_leave_out_nothing_that_has_them():
+    vectors = np.array([[1.0, 0.0], [0.5, 0.0], [0.5, 0.0], [0.1, 0.0]])
+    q, v, score = ann._top_exact(np.array([[1.0, 0.0]] * 3), np.array([0.5, -np.inf, 2.0]), vectors, np.array([0, 2, 1, 3]), 3)
+    assert list(zip(q.tolist(), v.tolist(), score.tolist(), strict=True)) == [(0, 0, 1.0), (0, 2, 0.5), (0, 1, 0.5), (1, 0, 1.0), (1, 2, 0.5), (1, 1, 0.5)]
+
+
 def test_neighbours_query(spark, sf_dir):
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
     found = {}
