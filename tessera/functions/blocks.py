@@ -6,10 +6,8 @@ import heapq
 import re
 import time
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tessera.functions import paths
 
@@ -72,29 +70,27 @@ def checked(found: list[dict]) -> list[dict]:
 def split_with(splitter=structural):
     """Column function: text -> array of blocks, by a Python splitter (a model's client, or the stand-in)."""
 
-    @pandas_udf(f"array<{_BLOCK}>")
-    def blocks(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: checked(splitter(t)), na_action="ignore")
-
-    return blocks
+    # pickled, as its batches are of 100 rows, and Arrow's of 10,000 whole texts
+    return F.udf(lambda t: None if t is None else checked(splitter(t)), f"array<{_BLOCK}>", useArrow=False)
 
 
 def split_apart(splitter=structural):
     """Column function: text -> (blocks, seconds, error). A splitter that fails for one file is that file's error only."""
 
-    @pandas_udf(f"blocks array<{_BLOCK}>, seconds double, error string")
-    def split(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in text:
-            started, found, error = time.perf_counter(), None, None
-            try:
-                found = checked(splitter(t)) if t is not None else []
-            except Exception as e:  # noqa: BLE001  any reason is the file's own
-                error = f"{type(e).__name__}: {e}"
-            rows.append((found, time.perf_counter() - started, error))
-        return pd.DataFrame(rows, columns=["blocks", "seconds", "error"])
+    def split(text: str | None) -> tuple[list[dict] | None, float, str | None]:
+        started, found, error = time.perf_counter(), None, None
+        try:
+            found = checked(splitter(text)) if text is not None else []
+        except Exception as e:  # noqa: BLE001  any reason is the file's own
+            error = f"{type(e).__name__}: {e}"
+        return found, time.perf_counter() - started, error
+
+    return F.udf(split, f"blocks array<{_BLOCK}>, seconds double, error string", useArrow=False)
+
 
-    return split
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once for a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _ordered(blocks: Column) -> Column:
@@ -126,11 +122,13 @@ def normalised(blocks: Column | str, total: Column | str) -> Column:
         dropped = F.struct(stretched.alias("out"), before.alias("end"))
         return F.when(start > end, state).when(begin > end, dropped).otherwise(kept)
 
-    done = F.aggregate(_ordered(blocks), zero, merge)["out"]
-    last = F.try_element_at(done, F.size(done))
-    closed = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(_block(last["start_line"], F.greatest(last["end_line"], total), last)))
+    def closed(done: Column) -> Column:
+        last = F.try_element_at(done, F.size(done))
+        tiles = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(_block(last["start_line"], F.greatest(last["end_line"], total), last)))
+        return F.when(F.coalesce(F.size(done), F.lit(0)) == 0, default).otherwise(tiles)
+
     default = F.array(F.struct(F.lit(1).alias("start_line"), total.alias("end_line"), F.lit("logic").alias("title"), F.lit("logic_block").alias("kind"), F.array().cast("array<string>").alias("symbols")))
-    return F.when(F.coalesce(F.size(done), F.lit(0)) == 0, default).otherwise(closed)
+    return once(F.aggregate(_ordered(blocks), zero, merge)["out"], closed)
 
 
 def coverage(blocks: Column | str, total: Column | str) -> Column:
@@ -165,13 +163,17 @@ def diagnostics(blocks: DataFrame, key: str = "path") -> DataFrame:
 
 def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row for each normalised block of files (path, text, blocks): key, ordinal, lines, text, size, symbols."""
-    total = paths.line_count(text)
-    tiled = files.withColumn("__total", total).withColumn("__tiles", normalised("blocks", "__total"))
-    each = tiled.select("*", F.size("__tiles").alias("chunks"), F.posexplode("__tiles").alias("__i", "__b"))
-    piece = paths.cut(text, F.col("__b.start_line"), F.col("__b.end_line"))
+    tiles = lambda own: once(normalised("blocks", F.size(own)), lambda t: F.transform(t, lambda b, i: piece(own, t, b, i)))
+
+    def piece(own: Column, t: Column, b: Column, i: Column) -> Column:
+        cut = F.array_join(F.slice(own, b["start_line"], b["end_line"] - b["start_line"] + 1), "\n")
+        return F.struct((i + 1).alias("chunk_id"), F.size(t).alias("chunks"), b.alias("b"), cut.alias("text"), F.size(own).alias("total"))
+
+    # cut before the rows are made, so that a text is split into lines once and goes into no row of its chunks
+    each = files.select(path, F.explode(once(paths.lines(text), tiles)).alias("__c"))
     return each.select(
-        paths.chunk_key(path, F.col("__i") + 1, "chunks").alias("id"), path, (F.col("__i") + 1).alias("chunk_id"), "chunks",
-        F.col("__b.start_line").alias("start_line"), F.col("__b.end_line").alias("end_line"), piece.alias("text"),
-        F.octet_length(piece).cast("long").alias("size"), F.col("__total").alias("file_lines"), F.col("__b.title").alias("title"),
-        F.col("__b.kind").alias("kind"), F.array_distinct("__b.symbols").alias("symbols"),
+        paths.chunk_key(path, "__c.chunk_id", "__c.chunks").alias("id"), path, "__c.chunk_id", "__c.chunks",
+        F.col("__c.b.start_line").alias("start_line"), F.col("__c.b.end_line").alias("end_line"), F.col("__c.text").alias("text"),
+        F.octet_length("__c.text").cast("long").alias("size"), F.col("__c.total").alias("file_lines"), F.col("__c.b.title").alias("title"),
+        F.col("__c.b.kind").alias("kind"), F.array_distinct("__c.b.symbols").alias("symbols"),
     )

@@ -4,7 +4,9 @@ import hashlib
 import math
 
 import numpy as np
+from pyspark.util import PythonEvalType
 
+from tessera.functions import blocks
 from tessera.operators import vectors
 
 
@@ -33,3 +35,15 @@ def test_embeddings_of_a_batch(spark):
     assert got[2] is None and not any(got[3]) and np.allclose(got[1], vectors.hashed_embedding("ab cd"))
     one = rows.select("i", vectors.embed_with(lambda t: np.arange(len(t)))("t").alias("e")).collect()
     assert [r["e"] for r in one] == [[0, 1, 2, 3, 4], None, []]
+
+
+def test_splitters_batches_are_small(spark):
+    assert blocks.split_with().evalType == blocks.split_apart().evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
+def test_chunks_carry_no_whole_text(spark):
+    rows = spark.createDataFrame([("a", "x\n\ny\n"), ("b", None), ("c", "")], "path string, text string").withColumn("blocks", blocks.split_with()("text"))
+    parts = blocks.chunks(rows)
+    assert [(r["path"], r["text"], r["chunks"]) for r in parts.orderBy("path", "chunk_id").collect()] == [("a", "x\n", 2), ("a", "y\n", 2), ("b", None, 1), ("c", "", 1)]
+    made = [line for line in parts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate " in line]
+    assert len(made) == 1 and ", [path" not in made[0] and "posexplode" not in made[0]
