@@ -8,6 +8,7 @@ from pyspark.util import PythonEvalType
 
 from tessera.functions import blocks
 from tessera.operators import vectors
+from tessera.sources import files
 
 
 def _plain_embedding(text, dims):
@@ -47,3 +48,7 @@ def test_chunks_carry_no_whole_text(spark):
     assert [(r["path"], r["text"], r["chunks"]) for r in parts.orderBy("path", "chunk_id").collect()] == [("a", "x\n", 2), ("a", "y\n", 2), ("b", None, 1), ("c", "", 1)]
     made = [line for line in parts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate " in line]
     assert len(made) == 1 and ", [path" not in made[0] and "posexplode" not in made[0]
+
+
+def test_extractors_batches_are_small(spark):
+    assert files.extracted().evalType == PythonEvalType.SQL_BATCHED_UDF
