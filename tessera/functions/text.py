@@ -39,17 +39,40 @@ _STANDARD = r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=\p{L})[.:'’·](?=\p{L})|(?<=\p{N})[
 _SIMPLE = r"[\p{L}\p{N}_]+"
 
 
-def tokens(text: Column | str, analyser: str) -> Column:
-    """Lower-case tokens, in order, before stop words and stems."""
+def words(text: Column | str, analyser: str) -> Column:
+    """Lower-case words in order. All analysers but simple have the same."""
     source = F.lower(F.col(text) if isinstance(text, str) else text)
-    if analyser == "simple":
-        return F.regexp_extract_all(source, F.lit(_SIMPLE), F.lit(0))
-    words = F.regexp_extract_all(source, F.lit(_STANDARD), F.lit(0))
+    return F.regexp_extract_all(source, F.lit(_SIMPLE if analyser == "simple" else _STANDARD), F.lit(0))
+
+
+def tokens_of(words: Column, analyser: str) -> Column:
+    """Tokens of words(), in order, before stop words and stems."""
     if analyser != "code":
         return words
     # lower case comes first, so a change of case splits nothing: parts end at marks and between letters and digits
     parts = lambda w: F.regexp_extract_all(w, F.lit(r"[\p{L}\p{M}]+|\p{N}+"), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: F.array_distinct(F.concat(F.array(w), parts(w)))))
+    whole = lambda w: w.rlike(r"^(?:[\p{L}\p{M}]+|\p{N}+)$")  # noqa: E731  most words: one part
+    return F.flatten(F.transform(words, lambda w: F.when(whole(w), F.array(w)).otherwise(F.array_distinct(F.concat(F.array(w), parts(w))))))
+
+
+def tokens(text: Column | str, analyser: str) -> Column:
+    """Lower-case tokens, in order, before stop words and stems."""
+    return tokens_of(words(text, analyser), analyser)
+
+
+def stop_tokens(analyser: str) -> list[str]:
+    """Tokens that are no terms."""
+    if analyser == "ru":
+        return sorted(StopWordsRemover.loadDefaultStopWords("russian"))
+    return sorted(w + end for w in ENGLISH_STOP for end in ("", "'s", "’s")) if analyser == "en" else []
+
+
+def stemmed(token: Column | str, analyser: str) -> Column:
+    """The term of a token."""
+    token = F.col(token) if isinstance(token, str) else token
+    if analyser == "en":
+        return _stem_english(F.regexp_replace(token, "['’]s$", ""))
+    return _stem_russian(token) if analyser == "ru" else token
 
 
 @pandas_udf(T.StringType())
@@ -69,10 +92,5 @@ def term_counts(docs: DataFrame, analyser: str, key: str = "doc_id", text: str =
     counted = docs.select(key, F.explode(tokens(text, analyser)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     if analyser in ("simple", "code"):
         return counted
-    if analyser == "ru":
-        stop = sorted(StopWordsRemover.loadDefaultStopWords("russian"))
-        stemmed = counted.where(~F.col("term").isin(stop)).withColumn("term", _stem_russian("term"))
-    else:
-        bare = F.regexp_replace("term", "['’]s$", "")
-        stemmed = counted.withColumn("term", bare).where(~F.col("term").isin(sorted(ENGLISH_STOP))).withColumn("term", _stem_english("term"))
-    return stemmed.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    terms = counted.where(~F.col("term").isin(stop_tokens(analyser))).withColumn("term", stemmed("term", analyser))
+    return terms.groupBy(key, "term").agg(F.sum("tf").alias("tf"))

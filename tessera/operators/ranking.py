@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import term_counts
+from tessera.functions.blocks import once
+from tessera.functions.text import stemmed as stem
+from tessera.functions.text import stop_tokens, term_counts, tokens_of, words
 from tessera.sources.staging import staged
 
 K1, B = 1.2, 0.75
@@ -14,6 +18,8 @@ FOLDERS = 64
 #: Weight of each analysed view of the text.
 BOOSTS = {"code": 1.0, "ru": 1.3, "en": 1.2}
 SYMBOL_BOOST = 1.0
+#: Analysers whose terms are not the tokens themselves: characters at the end of a term, at most, that its tokens may not begin with.
+STEMMED = {"ru": 0, "en": 3}
 
 
 def postings(docs: DataFrame, analyser: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,7 +56,7 @@ def _scored(hits: DataFrame, df: DataFrame, n: Column, average: Column, key: str
 
 
 def bm25(posted: DataFrame, terms: list[str], documents: int | None = None, key: str = "doc_id", within: DataFrame | None = None) -> DataFrame:
-    """(key, score) of the documents with any of the terms, of a corpus that is asked once (else see StoredIndex).
+    """(key, score) of the documents with any of the terms, of postings that are asked once (else see StoredIndex; of texts bm25_texts).
 
     posted: postings of the whole corpus. Statistics are the whole corpus's, also when within (keys) filters the result:
     the filter is applied before the scores are summed. documents: size of the corpus if some have no terms at all.
@@ -73,6 +79,67 @@ def bm25(posted: DataFrame, terms: list[str], documents: int | None = None, key:
     return rows.select(key, F.round(F.aggregate(F.array_sort("__t"), F.lit(0.0), lambda s, x: s + part(x)), 9).alias("score"))
 
 
+def _like(terms: list[str], tail: int) -> str:
+    """Expression of the tokens that can become one of the terms: they begin like it."""
+    begins = sorted({t[: max(1, len(t) - tail)] for t in terms})
+    return "^(?:" + "|".join(re.sub("[её]", "[её]", re.escape(b)) for b in begins) + ")"
+
+
+def _field(own: Column, name: str, terms: list[str]) -> Column:
+    """(dl, near) of a text's words: how many are terms of the field, and those that may be asked terms, repeats too."""
+    stop = stop_tokens(name)
+    kept = lambda x: F.filter(x, lambda w: ~w.isin(stop)) if stop else x
+    asked = lambda w: (w.rlike(_like(terms, STEMMED[name])) if name in STEMMED else w.isin(terms)) if terms else F.lit(False)
+    return once(kept(tokens_of(own, name)), lambda x: F.struct(F.size(x).cast("long").alias("dl"), F.filter(x, asked).alias("near")))
+
+
+def _hits(per: DataFrame, name: str, terms: list[str]) -> Column:
+    """The asked terms among a document's near tokens. Each distinct token is stemmed once; few become a term, as only some endings do."""
+    near = F.col(f"{name}.near")
+    if name not in STEMMED or not terms:
+        return near
+    tokens = per.select(F.explode(near).alias("token")).distinct().withColumn("term", stem("token", name))
+    forms = {r["token"]: r["term"] for r in tokens.where(F.col("term").isin(terms)).collect()}
+    if not forms:
+        return F.array().cast("array<string>")
+    term = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair])
+    return F.transform(F.filter(near, lambda w: w.isin(sorted(forms))), lambda w: F.try_element_at(term, w))
+
+
+def bm25_texts(docs: DataFrame, asked: dict[str, list[str]], key: str = "doc_id", text: str = "text", within: DataFrame | None = None) -> dict[str, DataFrame]:
+    """For each analyser of asked (its terms): what bm25() gives of the texts' postings.
+
+    For a corpus that is asked once: no postings are made, as the lengths and the counts of the asked terms are enough.
+    These are staged, one row for a document, in one pass over the texts for all fields.
+    """
+    terms = {n: sorted(set(ts)) for n, ts in asked.items()}
+    kinds = {n: "__simple" if n == "simple" else "__standard" for n in asked}
+    given = docs.select(key, *[words(text, n).alias(column) for column, n in {column: n for n, column in kinds.items()}.items()])
+    fields = given.select(key, *[_field(F.col(kinds[n]), n, terms[n]).alias(n) for n in asked])
+    all_near = lambda n: F.flatten(F.collect_list(F.when(F.size(f"{n}.near") > 0, F.col(f"{n}.near"))))
+    per = staged(fields.groupBy(key).agg(*[F.struct(F.sum(f"{n}.dl").alias("dl"), all_near(n).alias("near")).alias(n) for n in asked]))
+    hits = per.select(key, *[F.struct(F.col(f"{n}.dl").alias("dl"), _hits(per, n, terms[n]).alias("hits")).alias(n) for n in asked])
+    some = {n: F.col(f"{n}.dl") > 0 for n in asked}
+    held = lambda n: F.array(*[F.count_if(F.array_contains(f"{n}.hits", t)) for t in terms[n]]).cast("array<long>")
+    facts = hits.agg(*[F.struct(F.count_if(some[n]).alias("n"), F.avg(F.when(some[n], F.col(f"{n}.dl"))).alias("average"), held(n).alias("df")).alias(n) for n in asked]).first()
+    rows = hits if within is None else hits.join(within, key, "left_semi")
+    return {n: _rated(rows, key, n, terms[n], facts[n]) for n in asked}
+
+
+def _count(terms: str, term: str) -> Column:
+    return F.size(F.filter(terms, lambda x: x == term))
+
+
+def _rated(rows: DataFrame, key: str, field: str, terms: list[str], facts) -> DataFrame:
+    hit = rows.where(F.size(f"{field}.hits") > 0).select(key, F.col(f"{field}.dl").alias("dl"), F.col(f"{field}.hits").alias("hits"))
+    score = F.lit(0.0)
+    for term, df in zip(terms, facts["df"], strict=True):
+        count = _count("hits", term)
+        tf = count / (count + K1 * (1 - B + B * F.col("dl") / F.lit(facts["average"])))
+        score = score + F.when(count > 0, idf(F.lit(facts["n"]), F.lit(df)) * tf).otherwise(0.0)
+    return hit.select(key, F.round(score, 9).alias("score"))
+
+
 class StoredIndex:
     """An inverted index on disk: postings with their documents' lengths, in folders by a hash of the term, and statistics.
 

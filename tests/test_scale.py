@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.util import PythonEvalType
 
 from tessera.functions import blocks
-from tessera.operators import vectors
+from tessera.operators import ranking, vectors
 from tessera.sources import files
 
 
@@ -52,3 +52,15 @@ def test_chunks_carry_no_whole_text(spark):
 
 def test_extractors_batches_are_small(spark):
     assert files.extracted().evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
+def test_texts_are_scored_without_postings(spark, monkeypatch):
+    texts = [(1, "The nation's nations, v1.2 foo_bar foo"), (2, "национальный народ ёлка елками"), (3, None), (4, "the of"), (5, "possibility x9 9"), (5, "possible nation foo"), (6, "plain other words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = {n: ranking.query_terms(spark, "nations possible foo ёлки x9 absent", n) for n in ("simple", "code", "ru", "en")}
+    want = {n: sorted(map(tuple, ranking.bm25(ranking.postings(docs, n), terms).collect())) for n, terms in asked.items()}
+    monkeypatch.setattr(ranking, "postings", None)
+    got = {n: sorted(map(tuple, part.collect())) for n, part in ranking.bm25_texts(docs, asked).items()}
+    assert got == want and all(want.values())
+    one = ranking.bm25_texts(docs, {"en": asked["en"]}, within=docs.where("doc_id = 1").select("doc_id"))["en"].collect()
+    assert [tuple(r) for r in one] == [x for x in want["en"] if x[0] == 1]
