@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths
 from tessera.operators import fusion, ranking
 from tessera.operators.vectors import hashed_embedding, knn
+from tessera.sources.staging import staged
 
 # Fields of a result besides its id.
 RESULT_FIELDS = ("text", "path", "start_line", "end_line", "title", "symbols", "lang", "mime", "file_lines", "kind", "chunk_id", "chunks")
@@ -20,17 +21,17 @@ def search(
     """The top_n chunks for a question, with rank.
 
     The path filter comes before both retrievals, but BM25 statistics are the whole corpus's. postings: stored indexes or
-    postings by analyser (key id), else postings are computed from chunks. Text and the other fields join in after the fusion.
+    postings by analyser (key id), else the texts of chunks are scored without. Text and the other fields join in after the fusion.
     """
     short = fusion.shortlist(top_n, use_reranker)
     spark, keep = chunks.sparkSession, paths.has_prefix("path", path_prefix)
     within = chunks.where(keep).select("id") if paths.prefix_of(path_prefix) else None
-    scored = {}
-    for name in ranking.BOOSTS:
-        terms = ranking.query_terms(spark, question, name)
-        if terms:
-            posted = postings[name] if postings else ranking.postings(chunks, name, "id")
-            scored[name] = posted.bm25(terms, within) if isinstance(posted, ranking.StoredIndex) else ranking.bm25(posted, terms, key="id", within=within)
+    asked = {name: terms for name in ranking.BOOSTS if (terms := ranking.query_terms(spark, question, name))}
+    if postings:
+        of = lambda posted, terms: posted.bm25(terms, within) if isinstance(posted, ranking.StoredIndex) else ranking.bm25(posted, terms, key="id", within=within)
+        scored = {name: of(postings[name], terms) for name, terms in asked.items()}
+    else:
+        scored = ranking.bm25_texts(chunks, asked, key="id", within=within) if asked else {}
     empty = spark.createDataFrame([], "id string, score double")
     text_scores = ranking.best_field(scored, key="id") if scored else empty
     if symbols:
@@ -42,5 +43,6 @@ def search(
     fields = chunks.select("id", *RESULT_FIELDS)
     found = fields.join(F.broadcast(fused), "id")  # a short list: 360 rows at most
     if use_reranker:
+        found = staged(found)  # read twice
         return fusion.rerank(found, question, top_n, scorer).select("id", *RESULT_FIELDS, "rank")
     return found.where(F.col("rank") <= top_n).select("id", *RESULT_FIELDS, "rank")
