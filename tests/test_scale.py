@@ -64,3 +64,14 @@ def test_texts_are_scored_without_postings(spark, monkeypatch):
     assert got == want and all(want.values())
     one = ranking.bm25_texts(docs, {"en": asked["en"]}, within=docs.where("doc_id = 1").select("doc_id"))["en"].collect()
     assert [tuple(r) for r in one] == [x for x in want["en"] if x[0] == 1]
+
+
+def test_search_embeds_only_what_the_path_keeps(spark, sf_dir, monkeypatch):
+    from tessera import queries
+
+    monkeypatch.setattr(ranking, "postings", None)
+    given, real = [], queries.search.search
+    monkeypatch.setattr(queries.search, "search", lambda chunks, *a, **b: given.append(chunks) or real(chunks, *a, **b))
+    assert queries.main_search(spark, sf_dir).count() == 10
+    plan = given[0].where("path like 'src1%'").select("embedding")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "StartsWith" in plan[plan.index("ArrowEvalPython") :]
